@@ -116,3 +116,19 @@ def feature_table(df: DataFrame, series_key: list[str], tiebreak: list[str],
         rain_order = [DATE, *tiebreak] if rain_by_date else ["commodity", "market", DATE, *tiebreak]
         df = add_lag_by(df, ["state", "district"], rain_order, "prectotcorr", "rain_lag_1")
     return df.where(F.col("modal_lag_7").isNotNull())
+
+
+def top_impacts(df: DataFrame, id_cols: list[str], feature_cols: list[str], k: int = 5,
+                impact_name: str = "impact") -> DataFrame:
+    """Per row, the ``k`` features with the largest absolute impact and a
+    bar width = |impact| / max(max |impact| of the row's top k, 1) * 100.
+
+    The window partitions are single rows' feature lists (bounded by the
+    feature count), never a data key.
+    """
+    long = df.unpivot(id_cols, feature_cols, "feature", impact_name)
+    w = Window.partitionBy(*id_cols).orderBy(F.desc(F.abs(impact_name)), F.asc("feature"))
+    ranked = long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    wmax = Window.partitionBy(*id_cols)
+    top = F.greatest(F.max(F.abs(impact_name)).over(wmax), F.lit(1.0))
+    return ranked.withColumn("width_pct", F.abs(impact_name) / top * 100)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pricecast.plans import feature_queries, meta_queries, serve_queries  # noqa: F401
+from pricecast.plans import eval_queries, feature_queries, meta_queries, serve_queries  # noqa: F401
 from pricecast.plans.catalog import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
