@@ -81,7 +81,9 @@ def price_trend(df: DataFrame, commodity: str | None = None,
         df = df.join(F.broadcast(top), "commodity", "left_semi")
     else:
         df = df.where(F.col("commodity") == commodity)
-    return (df.groupBy(date_col).agg(F.avg(price_col).alias("avg_price"),
+    # mean from an exact decimal sum: independent of summation order
+    exact_sum = F.sum(F.col(price_col).cast("decimal(38,8)")).cast("double")
+    return (df.groupBy(date_col).agg((exact_sum / F.count(price_col)).alias("avg_price"),
                                      F.count(F.lit(1)).alias("n_records"))
               .orderBy(date_col))
 

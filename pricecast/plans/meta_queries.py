@@ -66,7 +66,9 @@ def q_commodity_counts(spark, sf_dir):
 @register("price_trend", with_fixtures("""top AS (
   SELECT commodity FROM price_obs WHERE commodity IS NOT NULL
   GROUP BY commodity ORDER BY count(*) DESC, commodity ASC LIMIT 1)""", select=f"""
-SELECT arrival_date, {r4("avg(modal_price)")} AS avg_price, count(*) AS n_records
+SELECT arrival_date,
+       {r4("CAST(sum(CAST(modal_price AS DECIMAL(38,8))) AS DOUBLE) / count(modal_price)")} AS avg_price,
+       count(*) AS n_records
 FROM price_obs WHERE commodity IN (SELECT commodity FROM top) GROUP BY arrival_date"""))
 def q_price_trend(spark, sf_dir):
     return finish(meta.price_trend(tb.price_obs(spark, sf_dir)))

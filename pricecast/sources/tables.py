@@ -16,8 +16,19 @@ SERVE_KEY = ["state", "market", "commodity"]                # 3-col serving key
 TIEBREAK = ["k1", "k2", "k3"]                               # unique within (series, date)
 
 
+_READERS: dict[tuple[int, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Parquet table reader, memoized per session and path.
+
+    A DataFrame is an immutable plan, so reusing it only skips the repeated
+    file listing and footer-based schema inference on the driver."""
+    path = f"{sf_dir}/{name}.parquet"
+    key = (id(spark), path)
+    if key not in _READERS:
+        _READERS[key] = spark.read.parquet(path)
+    return _READERS[key]
 
 
 def _supplier_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
