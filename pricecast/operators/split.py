@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricecast.operators.join import attach_one_row
@@ -36,14 +36,12 @@ def time_split_by_date(df: DataFrame, date_col: str = DATE, fracs=(0.70, 0.15),
                        split_col: str = "split") -> DataFrame:
     """Cut at distinct-date indexes int(n*.70), int(n*.85).
 
-    The distinct-date table is bounded by the calendar (a few thousand rows
-    per decade), so its ranking runs as one small window; the two cut dates
-    are a one-row table attached by broadcast.
+    Distinct dates are ranked with the distributed position helper (no
+    single-partition window); the two cut dates form a one-row table.
     """
     dates = df.select(date_col).where(F.col(date_col).isNotNull()).distinct()
-    w = Window.orderBy(date_col)
-    ranked = dates.withColumn("_i", F.row_number().over(w) - 1)\
-                  .withColumn("_nd", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    ranked = with_positions(dates, [], [date_col]).withColumnsRenamed({"_pos": "_i",
+                                                                       "_n": "_nd"})
     f1, f2 = fracs[0], fracs[0] + fracs[1]
     cuts = ranked.agg(
         F.max(F.when(F.col("_i") == F.floor(F.col("_nd") * F.lit(f1)), F.col(date_col))).alias("_train_end"),

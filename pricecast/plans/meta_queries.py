@@ -104,3 +104,25 @@ def q_weather_coverage(spark, sf_dir):
 
 
 __all__ = ["F"]
+
+
+@register("sink_roundtrip", with_fixtures(select="""
+SELECT count(*) AS rows, min(arrival_date) AS min_date, max(arrival_date) AS max_date
+FROM price_obs"""))
+def q_sink_roundtrip(spark, sf_dir):
+    """S2 + S5 + S6 + S4: the observations written as a date-partitioned stage
+    table, interval predictions and a JSON export (all under the shared
+    checkpoint folder), then the load audit read back from the stage table."""
+    import uuid
+
+    from pricecast.session import ensure_checkpoint_dir
+    from pricecast.sources import io as sio
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sink-{uuid.uuid4().hex}"
+    obs = tb.price_obs(spark, sf_dir)
+    sio.write_stage(obs.withColumn("year", F.year("arrival_date")), f"{base}/stage",
+                    partition_by=["year"])
+    bands = obs.select(F.col("modal_price").alias("y_true"), F.col("min_price").alias("p10"),
+                       F.col("modal_price").alias("p50"), F.col("max_price").alias("p90"))
+    sio.write_predictions(bands, f"{base}/predictions")
+    sio.export_json(obs.select("market", "arrival_date", "modal_price"), f"{base}/json")
+    return meta.audit_load(spark.read.parquet(f"{base}/stage"))

@@ -59,3 +59,26 @@ def test_iqr_cap_and_median_fill_match_pandas(spark):
     filled = clean.fill_group_median(df, ["g"], ["v"]).toPandas()
     assert filled["v"].isna().sum() == 0 and 5.0 in set(filled["v"])
     assert len(m) > 0
+
+
+def test_load_table_and_model_persistence(spark, tmp_path):
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, 4.1), (3.0, 5.9)], "x double, y double")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS t_{tmp_path.name} LOCATION '{tmp_path}/db'")
+    name = f"t_{tmp_path.name}.obs"
+    sio.load_table(df, name, if_exists="replace")
+    sio.load_table(df, name, if_exists="append")
+    assert spark.table(name).count() == 6
+    with pytest.raises(Exception):
+        sio.load_table(df, name, if_exists="fail")
+    with pytest.raises(ValueError):
+        sio.load_table(df, name, if_exists="merge")
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"),
+                            LinearRegression(featuresCol="features", labelCol="y")]).fit(df)
+    sio.save_model(pipe, f"{tmp_path}/m/q50", ["x"])
+    got = sio.load_models(f"{tmp_path}/m", ["q50"], PipelineModel)
+    assert got["q50_features"] == ["x"]
+    with pytest.raises(FileNotFoundError, match="q10/model"):
+        sio.load_models(f"{tmp_path}/m", ["q50", "q10"], PipelineModel)
