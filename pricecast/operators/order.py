@@ -25,6 +25,9 @@ from pricecast.session import checkpoint
 
 # A key group larger than this is never processed by one window task.
 CHUNK_ROWS = 2_000_000
+# Up to this group size an exact quantile is cheaper as Spark's in-buffer
+# ``percentile`` aggregate; above it the parallel ranked path wins (measured).
+SMALL_GROUP_ROWS = 100_000
 
 
 def _n_parts(df: DataFrame, n_parts: int | None) -> int:
@@ -64,14 +67,24 @@ def with_positions(df: DataFrame, keys: list[str], order: list[str | Column],
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], col: str,
-                    qs: dict[str, float], n_parts: int | None = None) -> DataFrame:
+                    qs: dict[str, float], n_parts: int | None = None,
+                    chunk_rows: int | None = None) -> DataFrame:
     """percentile_cont of ``col`` per key for each named fraction in ``qs``.
 
     Same definition as Spark ``percentile`` / DuckDB ``quantile_cont``:
     position (n-1)q, linear interpolation between its floor and ceiling.
-    Only the 2*len(qs) selected rows per key reach the final aggregate.
+
+    When every group is proven to hold at most ``SMALL_GROUP_ROWS`` rows (one
+    partial-aggregated count), Spark's exact ``percentile`` aggregate is used:
+    its per-group buffer is then small and bounded. Otherwise groups are ranked with
+    ``with_positions`` and only the 2*len(qs) selected rows per key reach the
+    final aggregate, so a hot group never sits in one buffer.
     """
+    chunk_rows = SMALL_GROUP_ROWS if chunk_rows is None else chunk_rows
     d = df.select(*keys, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    if max_group_rows(d, keys) <= chunk_rows:
+        aggs = [F.percentile("_v", float(q)).alias(n) for n, q in qs.items()]
+        return d.groupBy(*keys).agg(*aggs) if keys else d.agg(*aggs)
     p = with_positions(d, keys, ["_v"], n_parts)
     wanted = None
     for q in qs.values():

@@ -43,14 +43,19 @@ def test_global_positions(spark):
 def test_exact_quantiles_match_percentile(spark):
     df = _hot_frame(spark)
     qs = {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q90": 0.9}
-    got = order.exact_quantiles(df, ["key"], "v", qs, n_parts=6)
+    got = order.exact_quantiles(df, ["key"], "v", qs, n_parts=6, chunk_rows=0)  # ranked path
     ref = df.groupBy("key").agg(*[F.percentile("v", q).alias(n) for n, q in qs.items()])
     g = {r["key"]: r for r in got.collect()}
     for r in ref.collect():
         for n in qs:
             assert abs(g[r["key"]][n] - r[n]) < 1e-9
-    glob = order.exact_quantiles(df, [], "v", {"m": 0.5}).first()["m"]
+    glob = order.exact_quantiles(df, [], "v", {"m": 0.5}, chunk_rows=0).first()["m"]
     assert abs(glob - df.agg(F.percentile("v", 0.5)).first()[0]) < 1e-9
+    small = order.exact_quantiles(df, ["key"], "v", qs)             # bounded-group path
+    s = {r["key"]: r for r in small.collect()}
+    for k, r in g.items():
+        for n in qs:
+            assert abs(s[k][n] - r[n]) < 1e-9
 
 
 def test_chunked_windows_equal_plain(spark):
