@@ -30,12 +30,6 @@ CHUNK_ROWS = 2_000_000
 SMALL_GROUP_ROWS = 100_000
 
 
-def _n_parts(df: DataFrame, n_parts: int | None) -> int:
-    if n_parts:
-        return n_parts
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-
-
 def with_positions(df: DataFrame, keys: list[str], order: list[str | Column],
                    n_parts: int | None = None) -> DataFrame:
     """Add ``_pos`` (0-based rank within ``keys`` by ``order``) and ``_n`` (key size).
@@ -46,9 +40,11 @@ def with_positions(df: DataFrame, keys: list[str], order: list[str | Column],
     and local indexes stay fixed across the two uses below (and across an
     executor loss).
     """
-    n = _n_parts(df, n_parts)
-    s = (df.repartitionByRange(n, *keys, *order)
-           .sortWithinPartitions(*keys, *order)
+    # without an explicit count AQE sizes (coalesces) the range partitions
+    # from the measured data; coalescing merges adjacent ranges only
+    ranged = (df.repartitionByRange(n_parts, *keys, *order) if n_parts
+              else df.repartitionByRange(*keys, *order))
+    s = (ranged.sortWithinPartitions(*keys, *order)
            .withColumn("_pid", F.spark_partition_id())
            .withColumn("_mid", F.monotonically_increasing_id()))
     s = checkpoint(s)

@@ -70,10 +70,5 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """
     base = ensure_checkpoint_dir(df.sparkSession)
     path = f"{base.rstrip('/')}/pricecast-{uuid.uuid4().hex}"
-    n = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < n:
-        # a frame narrower than the cluster (a one-split input) is written as
-        # n files, so every later scan of the table runs n tasks wide
-        df = df.repartition(n)
     df.write.mode("error").parquet(path)
     return df.sparkSession.read.parquet(path)
