@@ -16,7 +16,7 @@ from pricecast.operators import encode, metrics, split
 from pricecast.operators.lookup import asof_fallback
 from pricecast.operators.schema import align_features
 from pricecast.plans.catalog import finish, register
-from pricecast.plans.forecast import confidence, forecast_bands, forecast_output
+from pricecast.plans.forecast import BandForecaster, confidence, forecast_output
 from pricecast.session import ensure_checkpoint_dir
 from pricecast.sources import tables as tb
 
@@ -129,10 +129,11 @@ def q_stream(spark, sf_dir):
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     req = tb.requests(spark, sf_dir)
     req.repartition(4, "request_id").write.parquet(f"{base}/source")
-    history = tb.price_obs(spark, sf_dir)
+    # history snapshot and bands prepared once, reused by every micro-batch
+    model = BandForecaster(tb.price_obs(spark, sf_dir), SERVE_TIEBREAK, PAYLOAD)
 
     def score(batch):
-        return forecast_bands(batch, history, SERVE_TIEBREAK, PAYLOAD).select(
+        return model.score(batch).select(
             "request_id", "fallback_level", "matched_date", "q10", "q50", "q90",
             "interval_width", "confidence_pct")
     score_request_stream(spark, f"{base}/source", req.schema, f"{base}/sink", f"{base}/ckpt",

@@ -10,7 +10,7 @@ from pricecast.models import arima
 from pricecast.models.attribution import permutation_attribution
 from pricecast.models.common import assemble
 from pricecast.operators.sequence import sequences
-from pricecast.plans.forecast import forecast_bands
+from pricecast.plans.forecast import BandForecaster, forecast_bands
 from pricecast.plans.serve_queries import PAYLOAD, SERVE_TIEBREAK
 from pricecast.session import ensure_checkpoint_dir
 from pricecast.sources import tables as tb
@@ -23,13 +23,16 @@ def test_stream_equals_batch(spark):
     hist = tb.price_obs(spark, SF001)
     cols = ["request_id", "fallback_level", "matched_date", "q10", "q50", "q90"]
 
+    model = BandForecaster(hist, SERVE_TIEBREAK, PAYLOAD)
+
     def score(b):
-        return forecast_bands(b, hist, SERVE_TIEBREAK, PAYLOAD).select(*cols)
+        return model.score(b).select(*cols)
     base = f"{ensure_checkpoint_dir(spark)}/t-{uuid.uuid4().hex}"
     req.repartition(3, "request_id").write.parquet(f"{base}/src")
     score_request_stream(spark, f"{base}/src", req.schema, f"{base}/sink", f"{base}/ck", score)
     streamed = spark.read.parquet(f"{base}/sink").select(*cols)
     assert rows(streamed) == rows(score(req))
+    assert rows(streamed) == rows(forecast_bands(req, hist, SERVE_TIEBREAK, PAYLOAD).select(*cols))
 
 
 def test_attribution_is_additive(spark):
