@@ -406,3 +406,23 @@ def q_fill_flag(spark, sf_dir):
     out = clean.fill_from(obs.withColumnRenamed("prev_lag_1", "prev_price"),
                           "prev_price", "min_price", "has_prev")
     return finish(out.select(*ID, "prev_price", "has_prev", "prev_or_zero"))
+
+
+# ----------------------------------------------------- timestamp-grained source
+@register("event_value_windows", with_fixtures(select=f"""
+SELECT event_type, event_id, ts,
+       {r4("lag(value, 1) OVER w")} AS value_lag_1, {r4("lag(value, 3) OVER w")} AS value_lag_3,
+       {r4('''CASE WHEN count(value) OVER (PARTITION BY event_type ORDER BY ts, event_id
+                ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) = 7
+           THEN avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id
+                ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) END''')} AS value_roll_mean_7
+FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)"""))
+def q_event_windows(spark, sf_dir):
+    """W1/W2 on the timestamp-grained events table: lags and shifted rolling mean
+    per event type (five types: every key is hot, the chunked path applies at scale)."""
+    ev = tb.events(spark, sf_dir).select("event_type", "event_id", "ts", "value")
+    out = features.add_series_windows(ev, ["event_type"], ["ts", "event_id"], "value",
+                                      lags=(1, 3), roll=7, roll_fns=("mean",),
+                                      lag_prefix="value")
+    return finish(out.select("event_type", "event_id", "ts", "value_lag_1", "value_lag_3",
+                             "value_roll_mean_7"))
