@@ -13,7 +13,6 @@ from pricecast.sources import tables as tb
 ID = ["market", "arrival_date", "k1", "k2", "k3"]
 ORDER = ["arrival_date", "k1", "k2", "k3"]
 ID_SQL = "market, arrival_date, k1, CAST(k2 AS BIGINT) AS k2, k3"
-WEATHER = ["t2m", "t2m_max", "t2m_min", "prectotcorr", "rh2m", "ws2m"]
 
 _OBS_W = """obs_w AS (
   SELECT o.*, w.t2m, w.t2m_max, w.t2m_min, w.prectotcorr, w.rh2m, w.ws2m

@@ -103,8 +103,6 @@ def q_weather_coverage(spark, sf_dir):
     return finish(meta.coverage_pct(obs.join(w, ["district", "arrival_date"], "left"), "t2m"))
 
 
-__all__ = ["F"]
-
 
 @register("sink_roundtrip", with_fixtures(select="""
 SELECT count(*) AS rows, min(arrival_date) AS min_date, max(arrival_date) AS max_date

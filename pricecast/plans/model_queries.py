@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pricecast.models import arima, attribution, gbt, quantile_gbm, sequence_models, stacking
 from pricecast.models.common import ROW_KEY, TARGET, model_frame
-from pricecast.operators import encode, metrics, split
+from pricecast.operators import metrics, split
 from pricecast.operators.lookup import asof_fallback
 from pricecast.operators.schema import align_features
 from pricecast.plans.catalog import finish, register
@@ -140,5 +140,3 @@ def q_stream(spark, sf_dir):
                          score)
     return finish(spark.read.parquet(f"{base}/sink").drop("epoch"))
 
-
-__all__ = ["encode"]
