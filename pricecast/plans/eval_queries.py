@@ -37,6 +37,10 @@ def _forecasts(obs):
                                   "p_roll_mean_7": "p_mean"})
 
 
+def _exact_mean_sql(c: str) -> str:
+    return f"CAST(sum(CAST({c} AS DECIMAL(38,8))) AS DOUBLE) / count({c})"
+
+
 def _metric_sql(y: str, p: str, mape: str = "floor_one") -> str:
     den = (f"CASE WHEN abs({y}) < 1e-9 THEN 1.0 ELSE abs({y}) END" if mape == "floor_one"
            else f"greatest(abs({y}), 1e-6)")
@@ -122,8 +126,9 @@ def q_pred_cov(spark, sf_dir):
   SELECT commodity, state, district, market, {_metric_sql("modal_price", "p_last")}
   FROM fc WHERE modal_price IS NOT NULL AND p_last IS NOT NULL
   GROUP BY commodity, state, district, market)""", select=f"""
-SELECT commodity, {r4("avg(rmse)")} AS rmse, {r4("avg(mae)")} AS mae, {r4("avg(mape)")} AS mape,
-       {r4("avg(r2)")} AS r2, count(*) AS n_series
+SELECT commodity, {r4(_exact_mean_sql("rmse"))} AS rmse, {r4(_exact_mean_sql("mae"))} AS mae,
+       {r4(_exact_mean_sql("mape"))} AS mape, {r4(_exact_mean_sql("r2"))} AS r2,
+       count(*) AS n_series
 FROM (SELECT commodity, rmse, mae, mape, r2 FROM per) GROUP BY commodity"""))
 def q_macro(spark, sf_dir):
     """Macro average over per-series metrics of the persistence forecast.
