@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +39,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     stars = cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
     roots = cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return stars.unionByName(roots)
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning stars (node, smallest member) of the graph of edges a-b."""
+    nodes, ids = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ids[:len(a)], ids[len(a):]
+    lab = np.arange(len(nodes))
+    while True:
+        low = np.minimum(lab[x], lab[y])
+        new = lab.copy()
+        np.minimum.at(new, lab[x], low)
+        np.minimum.at(new, lab[y], low)
+        new = new[new]
+        new = np.minimum(lab, new[lab])
+        if (new == lab).all():
+            break
+        lab = new
+    off = lab != np.arange(len(nodes))
+    return nodes[off], nodes[lab[off]]

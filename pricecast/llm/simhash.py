@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pricecast.llm.common import checkpoint, map_columns
-from pricecast.llm.components import connected_components
+from pricecast.llm.components import connected_components, spanning
 
 SEED = 42
 PIVOTS = 256
@@ -215,25 +215,6 @@ def _filed(fps: DataFrame, masks: list[int], thresholds: list[int]) -> DataFrame
     return fps.select("fp", F.explode(F.concat(*rows)).alias("x")).select("x.part", "x.value", "fp", "x.probe")
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning stars (node, smallest member) of the graph of edges a-b."""
-    nodes, ids = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = ids[:len(a)], ids[len(a):]
-    lab = np.arange(len(nodes))
-    while True:
-        low = np.minimum(lab[x], lab[y])
-        new = lab.copy()
-        np.minimum.at(new, lab[x], low)
-        np.minimum.at(new, lab[y], low)
-        new = new[new]
-        new = np.minimum(lab, new[lab])
-        if (new == lab).all():
-            break
-        lab = new
-    off = lab != np.arange(len(nodes))
-    return nodes[off], nodes[lab[off]]
-
-
 def _verify(batches: Iterator[pa.RecordBatch], max_bits: int, keys: list[str], arrow: pa.Schema):
     """Spanning links of rows that lie together by ``keys``; rows come sorted by them."""
     held: list[pa.RecordBatch] = []
@@ -259,10 +240,10 @@ def _verify(batches: Iterator[pa.RecordBatch], max_bits: int, keys: list[str], a
             d += 1
             left = left[left + d < end[left]]
             if found > 1_000_000:
-                a, b = _forest(np.concatenate(found_a), np.concatenate(found_b))
+                a, b = spanning(np.concatenate(found_a), np.concatenate(found_b))
                 found_a, found_b, found = [a], [b], 0
         if found_a:
-            a, b = _forest(np.concatenate(found_a), np.concatenate(found_b))
+            a, b = spanning(np.concatenate(found_a), np.concatenate(found_b))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=arrow)
 
     for batch in batches:
