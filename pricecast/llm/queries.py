@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricecast.llm import chat, decontam, embed_join, license_scan, mixing, pii, quality, simhash, toxicity
+from pricecast.llm import chat, decontam, embed_join, license_scan, mixing, pii, quality, simhash, suffix_dedup, toxicity
 from pricecast.llm.common import map_columns, table
 
 QUERIES: dict = {}
@@ -155,6 +155,11 @@ def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def held_out(doc_id):
     """Whether a row is kept from training: crc32 of its id as text leaves 2 by 4."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
