@@ -33,7 +33,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -204,17 +204,23 @@ def _filed(fps: DataFrame, masks: list[int], thresholds: list[int]) -> DataFrame
     for k, (mask, t) in enumerate(zip(masks, thresholds, strict=True)):
         if t < 0:
             continue
-        own = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
+        own = F.col("fp").bitwiseAND(F.lit(_signed(mask)).cast("long"))
+        rows.append(F.array(_entry(k, own, False)))
         flips = _flips(mask, t)
-        probes = F.array(F.struct(own.alias("value"), F.lit(False).alias("probe")))
         if flips:
-            probes = F.concat(probes, F.transform(F.array(*(F.lit(_signed(x)) for x in flips)), lambda f, own=own:
-                              F.struct(own.bitwiseXOR(f).alias("value"), F.lit(True).alias("probe"))))
-        rows.append(F.transform(probes, lambda p, k=k: F.struct(F.lit(k).alias("part"), p["value"].alias("value"),
-                                                              p["probe"].alias("probe"))))
+            rows.append(F.transform(F.array(*(F.lit(_signed(x)).cast("long") for x in flips)), _prober(k, own)))
     return fps.select("fp", F.explode(F.concat(*rows)).alias("x")).select("x.part", "x.value", "fp", "x.probe")
 
 
+def _entry(part: int, value: Column, probe: bool) -> Column:
+    return F.struct(F.lit(part).alias("part"), value.alias("value"), F.lit(probe).alias("probe"))
+
+
+def _prober(part: int, own: Column):
+    # one parameter only: a second one would be given the position in the array
+    return lambda flip: _entry(part, own.bitwiseXOR(flip), True)
+
+
 def _verify(batches: Iterator[pa.RecordBatch], max_bits: int, keys: list[str], arrow: pa.Schema):
     """Spanning links of rows that lie together by ``keys``; rows come sorted by them."""
     held: list[pa.RecordBatch] = []
