@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricecast.functions.keys import norm_key, norm_text
+from pricecast.functions.keys import norm_key, norm_names
 from pricecast.operators.join import attach_one_row
 from pricecast.operators.order import with_positions
 
@@ -67,7 +67,7 @@ def set_one_hot(df: DataFrame, feature_cols: list[str],
     """
     prefixes = prefixes or {"state": ["state_", "State_"], "market": ["market_", "Market_"],
                             "commodity": ["commodity_", "Commodity_"]}
-    norm_to_col = {norm_text(c): c for c in feature_cols}
+    norm_to_col = {norm: c for c, norm in norm_names(df.sparkSession, feature_cols).items()}
     lookup = F.create_map(*[x for kv in norm_to_col.items() for x in map(F.lit, kv)]) \
         if norm_to_col else None
     out = df

@@ -83,7 +83,7 @@ def price_trend(df: DataFrame, commodity: str | None = None,
         df = df.where(F.col("commodity") == commodity)
     # mean from an exact decimal sum: independent of summation order
     exact_sum = F.sum(F.col(price_col).cast("decimal(38,8)")).cast("double")
-    return (df.groupBy(date_col).agg((exact_sum / F.count(price_col)).alias("avg_price"),
+    return (df.where(F.col(date_col).isNotNull()).groupBy(date_col).agg((exact_sum / F.count(price_col)).alias("avg_price"),
                                      F.count(F.lit(1)).alias("n_records"))
               .orderBy(date_col))
 
@@ -94,7 +94,8 @@ def top_markets_per_commodity(df: DataFrame, n: int = 2) -> DataFrame:
     The ranking window runs over the grouped (commodity, market) table, so
     each window partition holds one commodity's markets, not its rows.
     """
-    g = df.groupBy("commodity", "market").agg(F.count(F.lit(1)).alias("n_records"))
+    known = df.where(F.col("commodity").isNotNull() & F.col("market").isNotNull())
+    g = known.groupBy("commodity", "market").agg(F.count(F.lit(1)).alias("n_records"))
     w = Window.partitionBy("commodity").orderBy(F.desc("n_records"), F.asc("market"))
     return (g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n))
 

@@ -8,7 +8,7 @@ That table has at most #keys + #partitions rows; its window runs per key
 over the partitions that key spans.
 
 On top of it:
-* ``exact_quantiles`` - percentile_cont per key with bounded memory (Spark's
+* ``exact_quantiles`` - percentile_cont per key from value counts (Spark's
   exact ``percentile`` aggregate keeps a whole group's values in one buffer);
 * ``chunked`` - series windows over a hot key, split into fixed-size chunks
   with a halo of preceding rows, so lag/rolling frames stay exact.
@@ -25,9 +25,6 @@ from pricecast.session import checkpoint
 
 # A key group larger than this is never processed by one window task.
 CHUNK_ROWS = 2_000_000
-# Up to this group size an exact quantile is cheaper as Spark's in-buffer
-# ``percentile`` aggregate; above it the parallel ranked path wins (measured).
-SMALL_GROUP_ROWS = 100_000
 
 
 def with_positions(df: DataFrame, keys: list[str], order: list[str | Column],
@@ -62,43 +59,60 @@ def with_positions(df: DataFrame, keys: list[str], order: list[str | Column],
                .drop("_spid", "_pid", "_mid", "_off", "_first", *[f"_s_{k}" for k in keys]))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], col: str,
-                    qs: dict[str, float], n_parts: int | None = None,
-                    chunk_rows: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], col: str, qs: dict[str, float],
+                    n_parts: int | None = None, weight: str | None = None) -> DataFrame:
     """percentile_cont of ``col`` per key for each named fraction in ``qs``.
 
     Same definition as Spark ``percentile`` / DuckDB ``quantile_cont``:
     position (n-1)q, linear interpolation between its floor and ceiling.
-
-    When every group is proven to hold at most ``SMALL_GROUP_ROWS`` rows (one
-    partial-aggregated count), Spark's exact ``percentile`` aggregate is used:
-    its per-group buffer is then small and bounded. Otherwise groups are ranked with
-    ``with_positions`` and only the 2*len(qs) selected rows per key reach the
-    final aggregate, so a hot group never sits in one buffer.
+    ``weight`` names a column that says how many times a row counts.
+
+    One path for every size: rows are first counted per (key, value) - a
+    partial aggregate, so a price that half the rows share is one row per
+    task. The counts are range-partitioned by (key, value), which cuts a key
+    with many distinct values over partitions; a running sum inside each
+    partition plus the totals of the key's earlier partitions gives every
+    value the range of ranks it covers.
     """
-    chunk_rows = SMALL_GROUP_ROWS if chunk_rows is None else chunk_rows
-    d = df.select(*keys, F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    if max_group_rows(d, keys) <= chunk_rows:
-        aggs = [F.percentile("_v", float(q)).alias(n) for n, q in qs.items()]
-        return d.groupBy(*keys).agg(*aggs) if keys else d.agg(*aggs)
-    p = with_positions(d, keys, ["_v"], n_parts)
-    wanted = None
-    for q in qs.values():
-        pos = (F.col("_n") - 1) * F.lit(float(q))
-        hit = (F.col("_pos") == F.floor(pos)) | (F.col("_pos") == F.ceil(pos))
-        wanted = hit if wanted is None else (wanted | hit)
-    sel = p.where(wanted)
+    times = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    d = df.select(*keys, F.col(col).cast("double").alias("_v"), *([weight] if weight else []))
+    counts = d.where(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(times.alias("_c"))
+    ranged = (counts.repartitionByRange(n_parts, *keys, "_v") if n_parts
+              else counts.repartitionByRange(*keys, "_v"))
+    # the partition number is used twice, so it is fixed by writing it
+    s = checkpoint(ranged.withColumn("_pid", F.spark_partition_id()))
+    totals = s.groupBy("_pid", *keys).agg(F.sum("_c").alias("_t"))
+    w_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    totals = (totals.withColumn("_n", F.sum("_t").over(w_key))
+                    .withColumn("_off", F.sum("_t").over(w_key.orderBy("_pid")) - F.col("_t"))
+                    .select(F.col("_pid").alias("_spid"), *[F.col(k).alias(f"_s_{k}") for k in keys],
+                            "_n", "_off"))
+    upto = F.sum("_c").over(Window.partitionBy("_pid", *keys).orderBy("_v"))
+    s = s.withColumn("_upto", upto)
+    cond = [s["_pid"] == totals["_spid"]] + [s[k].eqNullSafe(totals[f"_s_{k}"]) for k in keys]
+    p = (s.join(totals, reduce(lambda a, b: a & b, cond))
+          .withColumn("_end", F.col("_off") + F.col("_upto"))
+          .withColumn("_beg", F.col("_end") - F.col("_c")))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_beg") <= rank) & (rank < F.col("_end")), F.col("_v")))
+
     aggs = []
     for name, q in qs.items():
         pos = (F.col("_n") - 1) * F.lit(float(q))
-        aggs += [F.max(F.when(F.col("_pos") == F.floor(pos), F.col("_v"))).alias(f"_lo_{name}"),
-                 F.max(F.when(F.col("_pos") == F.ceil(pos), F.col("_v"))).alias(f"_hi_{name}"),
+        aggs += [at(F.floor(pos)).alias(f"_lo_{name}"), at(F.ceil(pos)).alias(f"_hi_{name}"),
                  F.max(pos - F.floor(pos)).alias(f"_fr_{name}")]
-    g = sel.groupBy(*keys).agg(*aggs) if keys else sel.agg(*aggs)
-    out = g.select(*keys, *[
+    g = p.groupBy(*keys).agg(*aggs) if keys else p.agg(*aggs)
+    return g.select(*keys, *[
         (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_fr_{n}")).alias(n)
         for n in qs])
-    return out
+
+
+def known_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key columns are all present: grouped series drop the others."""
+    for k in keys:
+        df = df.where(F.col(k).isNotNull())
+    return df
 
 
 def max_group_rows(df: DataFrame, keys: list[str]) -> int:
@@ -110,7 +124,7 @@ def max_group_rows(df: DataFrame, keys: list[str]) -> int:
 
 
 def chunked(df: DataFrame, keys: list[str], order: list[str | Column], halo: int,
-            chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, list[str]]:
+            chunk_rows: int | None = None) -> tuple[DataFrame, list[str]]:
     """Prepare ``df`` for series windows with frames reaching ``halo`` rows back.
 
     Returns ``(frame, partition_cols)``: window over
@@ -120,6 +134,7 @@ def chunked(df: DataFrame, keys: list[str], order: list[str | Column], halo: int
     chunks of ``chunk_rows`` consecutive rows and the last ``halo`` rows of a
     chunk are repeated, flagged, at the head of the next one.
     """
+    chunk_rows = CHUNK_ROWS if chunk_rows is None else chunk_rows
     if max_group_rows(df, keys) <= chunk_rows:
         return df.withColumn("_halo", F.lit(False)), list(keys)
     p = with_positions(df, keys, order)

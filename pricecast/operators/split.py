@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricecast.operators.join import attach_one_row
@@ -14,22 +17,41 @@ DATE = "arrival_date"
 def time_split(df: DataFrame, order: list[str], fracs: tuple[float, ...] = (0.70, 0.15),
                labels: tuple[str, ...] = ("train", "val", "test"),
                split_col: str = "split") -> DataFrame:
-    """Positional split by global order.
-
-    Rows are ranked globally by ``order`` without a single-partition sort
-    (``with_positions`` with no key). The first int(n*f1) rows get the first
-    label, up to int(n*(f1+f2)) the second, the rest the last. A boundary
-    day can fall in two splits, as in the reference.
+    """Positional split by global order; ``order`` is a total order led by a date.
+
+    The first int(n*f1) rows get the first label, up to int(n*(f1+f2)) the
+    second, the rest the last; a boundary day can fall in two splits. No row
+    of the table is moved for it: rows are counted per date, a running sum
+    over the dates (a calendar, not the data) finds the date on which each cut
+    falls, only that date's order columns are ranked, and every row is then
+    compared with the cut's order values, which are literals.
     """
-    p = with_positions(df.where(F.col(order[0]).isNotNull()), [], order)
-    cuts, acc = [], 0.0
-    for f in fracs:
-        acc += f
-        cuts.append(F.floor(F.col("_n") * F.lit(acc)))
+    day = order[0]
+    rows = df.where(F.col(day).isNotNull())
+    per_day = rows.groupBy(day).agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy(day))
+    n = F.sum("_c").over(Window.partitionBy(F.lit(0)))
+    days = per_day.withColumn("_end", upto).withColumn("_n", n).withColumn("_beg", F.col("_end") - F.col("_c"))
+    shares = [sum(fracs[:k + 1]) for k in range(len(fracs))]
+    rank = [F.floor(F.col("_n") * F.lit(s)) for s in shares]
+    falls = [(F.col("_beg") <= r) & (r < F.col("_end")) for r in rank]
+    found = days.where(reduce(or_, falls)).select(
+        day, *[F.when(f, r - F.col("_beg")).alias(f"_r{k}") for k, (f, r) in enumerate(zip(falls, rank))]).collect()
+    cuts: list[Column | None] = [None] * len(shares)
+    for row in found:    # at most one date per cut
+        wanted = {k: row[f"_r{k}"] for k in range(len(shares)) if row[f"_r{k}"] is not None}
+        placed = with_positions(rows.where(F.col(day) == F.lit(row[day])).select(*order), [], order)
+        for hit in placed.where(F.col("_pos").isin(*wanted.values())).collect():
+            at = F.struct(*[F.lit(hit[c]).cast(df.schema[c].dataType).alias(c) for c in order])
+            for k, pos in wanted.items():
+                if pos == hit["_pos"]:
+                    cuts[k] = at
+    here = F.struct(*[F.col(c) for c in order])
     lab = F.lit(labels[-1])
     for cut, name in reversed(list(zip(cuts, labels))):
-        lab = F.when(F.col("_pos") < cut, F.lit(name)).otherwise(lab)
-    return p.withColumn(split_col, lab).drop("_pos", "_n")
+        # a cut past the last row leaves nothing to the later labels
+        lab = F.lit(name) if cut is None else F.when(here < cut, F.lit(name)).otherwise(lab)
+    return rows.withColumn(split_col, lab)
 
 
 def time_split_by_date(df: DataFrame, date_col: str = DATE, fracs=(0.70, 0.15),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pricecast.operators import order
 from pricecast.operators.clean import ffill
 from pricecast.operators.features import add_series_windows
-from pricecast.operators.sequence import sequences
+from pricecast.operators.sequence import log_delta, sequences
 from tests.conftest import rows
 
 
@@ -43,19 +43,29 @@ def test_global_positions(spark):
 def test_exact_quantiles_match_percentile(spark):
     df = _hot_frame(spark)
     qs = {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q90": 0.9}
-    got = order.exact_quantiles(df, ["key"], "v", qs, n_parts=6, chunk_rows=0)  # ranked path
+    got = order.exact_quantiles(df, ["key"], "v", qs, n_parts=6)
     ref = df.groupBy("key").agg(*[F.percentile("v", q).alias(n) for n, q in qs.items()])
     g = {r["key"]: r for r in got.collect()}
     for r in ref.collect():
         for n in qs:
             assert abs(g[r["key"]][n] - r[n]) < 1e-9
-    glob = order.exact_quantiles(df, [], "v", {"m": 0.5}, chunk_rows=0).first()["m"]
+    glob = order.exact_quantiles(df, [], "v", {"m": 0.5}).first()["m"]
     assert abs(glob - df.agg(F.percentile("v", 0.5)).first()[0]) < 1e-9
-    small = order.exact_quantiles(df, ["key"], "v", qs)             # bounded-group path
-    s = {r["key"]: r for r in small.collect()}
-    for k, r in g.items():
+    twice = df.withColumn("w", F.lit(2))
+    doubled = df.unionByName(df).groupBy("key").agg(*[F.percentile("v", q).alias(n) for n, q in qs.items()])
+    s = {r["key"]: r for r in order.exact_quantiles(twice, ["key"], "v", qs, weight="w").collect()}
+    for r in doubled.collect():
         for n in qs:
-            assert abs(s[k][n] - r[n]) < 1e-9
+            assert abs(s[r["key"]][n] - r[n]) < 1e-9
+
+
+def test_quantiles_of_a_price_that_half_the_rows_share(spark):
+    df = spark.range(40_000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(7.0)).otherwise(F.rand(3) * 10).alias("v"), F.lit("k").alias("key"))
+    qs = {"a": 0.1, "m": 0.5, "z": 0.9}
+    got = order.exact_quantiles(df, ["key"], "v", qs).first()
+    want = df.select(*[F.percentile("v", q).alias(n) for n, q in qs.items()]).first()
+    assert all(abs(got[c] - want[c]) < 1e-9 for c in qs)
 
 
 def test_chunked_windows_equal_plain(spark):
@@ -65,12 +75,8 @@ def test_chunked_windows_equal_plain(spark):
     plain = add_series_windows(df, ["key"], ["t"], "v", lags=(1, 3, 7), roll=7)
     try:
         order.CHUNK_ROWS = 50
-        import pricecast.operators.features as feat
-        feat_chunk = feat.chunked
-        feat.chunked = lambda d, k, o, h, chunk_rows=50: feat_chunk(d, k, o, h, chunk_rows)
         chunked = add_series_windows(df, ["key"], ["t"], "v", lags=(1, 3, 7), roll=7)
     finally:
-        feat.chunked = feat_chunk
         order.CHUNK_ROWS = old
     cols = ["key", "t", "v_lag_1", "v_lag_3", "v_lag_7", "v_roll_mean_7", "v_roll_std_7"]
     a, b = rows(plain, *cols), rows(chunked, *cols)
@@ -84,12 +90,7 @@ def test_chunk_path_ffill_and_sequences(spark, monkeypatch):
     df = _hot_frame(spark, n=900)
     plain_ff = rows(ffill(df, ["key"], ["t"], "v"), "key", "t", "v")
     plain_seq = rows(sequences(df, ["key"], ["t"], ["v"], "v", n=5), "key", "t")
-    real = order.chunked
-    import pricecast.operators.clean as cl
-    import pricecast.operators.sequence as sq
-    small = lambda d, k, o, halo, chunk_rows=40: real(d, k, o, halo, 40)
-    monkeypatch.setattr(cl, "chunked", small)
-    monkeypatch.setattr(sq, "chunked", small)
+    monkeypatch.setattr(order, "CHUNK_ROWS", 40)
     assert rows(ffill(df, ["key"], ["t"], "v"), "key", "t", "v") == plain_ff
     assert rows(sequences(df, ["key"], ["t"], ["v"], "v", n=5), "key", "t") == plain_seq
 
@@ -101,3 +102,17 @@ def test_ffill_matches_pandas(spark):
     got = ffill(df, ["key"], ["t"], "v").toPandas().sort_values(["key", "t"])
     pd.testing.assert_series_equal(got["v"].reset_index(drop=True),
                                    pdf["v"].reset_index(drop=True), check_names=False)
+
+
+def test_null_series_keys_are_no_series(spark, monkeypatch):
+    """As with grouped pandas frames: null-key rows fill nothing and start no window, in either branch."""
+    data = [(None, t, float(t) if t % 3 else None) for t in range(60)] + [("a", t, float(t) if t % 4 else None) for t in range(60)]
+    df = spark.createDataFrame(data, "key string, t int, v double")
+    plain = rows(ffill(df, ["key"], ["t"], "v").select("key", "t", F.coalesce("v", F.lit(-1.0)).alias("v")), "t", "v")
+    assert len(plain) == 120 and sum(v == -1.0 for _, v in plain) == 61
+    seq = sequences(df, ["key"], ["t"], ["v"], "v", n=5)
+    assert seq.where("key is null").count() == 0 and seq.count() == 55
+    assert log_delta(df.na.fill(1.0), ["key"], ["t"], "v").where("key is null").count() == 0
+    monkeypatch.setattr(order, "CHUNK_ROWS", 16)
+    assert rows(ffill(df, ["key"], ["t"], "v").select("key", "t", F.coalesce("v", F.lit(-1.0)).alias("v")), "t", "v") == plain
+    assert sequences(df, ["key"], ["t"], ["v"], "v", n=5).count() == 55
