@@ -76,6 +76,19 @@ def q_asof(spark, sf_dir):
     return finish(out.drop("market_1") if "market_1" in out.columns else out)
 
 
+_ASOF_REPEATED_SQL = _ASOF_SQL.replace("SELECT request_id, state, market, commodity, arrival_date, key_state, key_market, key_commodity,\n       fallback_level", """
+SELECT CASE WHEN request_id % 13 = 0 THEN NULL ELSE request_id % 100 END AS request_id,
+       state, market, commodity, arrival_date, key_state, key_market, key_commodity, fallback_level""")
+
+
+@register("asof_fallback_repeated_ids", _ASOF_REPEATED_SQL)
+def q_asof_repeated(spark, sf_dir):
+    """J2 with request ids that repeat or are null: one answer per request row all the same."""
+    rid = F.col("request_id")
+    req = tb.requests(spark, sf_dir).withColumn("request_id", F.when(rid % 13 != 0, rid % 100))
+    return finish(asof_fallback(req, tb.price_obs(spark, sf_dir), PAYLOAD, SERVE_TIEBREAK))
+
+
 _BANDS = """bands AS (
   SELECT 'exact' AS bl, s AS bs, m AS bm, c AS bc, quantile_cont(modal_price, 0.1) AS q10,
          quantile_cont(modal_price, 0.5) AS q50, quantile_cont(modal_price, 0.9) AS q90
