@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricecast.functions.keys import norm_key, norm_names
@@ -57,6 +57,43 @@ def category_codes(df: DataFrame, col: str, out: str | None = None) -> DataFrame
     return apply_category_index(df, mapping, [col], suffix="" if out is None else "_code")
 
 
+# Prefixes of one-hot feature names.
+ONE_HOT_PREFIXES = {"state": ["state_", "State_"], "market": ["market_", "Market_"],
+                    "commodity": ["commodity_", "Commodity_"]}
+
+
+def _candidates(field: str, prefixes: list[str]) -> list[Column]:
+    """Normalized names a field's value may have as a feature, best first."""
+    v = norm_key(field)
+    return [norm_key(F.concat(F.lit(p), variant), null_as=None)
+            for variant in (v, F.replace(v, F.lit(" "), F.lit("_")), F.replace(v, F.lit(" "), F.lit("")))
+            for p in prefixes]
+
+
+def one_hot_hits(df: DataFrame, names: DataFrame, keep: list[str],
+                 prefixes: dict[str, list[str]] | None = None) -> DataFrame:
+    """E4 in long form: (``keep``, feature) for every feature that a row switches on.
+
+    ``names(feature)`` is a table, so the number of features is free: the
+    distinct values of each field meet it by an equi-join on the normalized
+    name, and only the first candidate that exists is taken. Equal normalized
+    names count as one feature, the last in order.
+    """
+    known = (names.select("feature", norm_key("feature").alias("_norm")).groupBy("_norm")
+                  .agg(F.max("feature").alias("feature")))
+    out = None
+    for field, pfx in (prefixes or ONE_HOT_PREFIXES).items():
+        if field not in df.columns:
+            continue
+        vals = df.select(field).where(norm_key(field) != "").distinct()
+        tried = vals.select(F.col(field).alias("_v"), F.posexplode(F.array(*_candidates(field, pfx))).alias("_p", "_c"))
+        best = (tried.join(known, tried["_c"] == known["_norm"])
+                     .groupBy("_v").agg(F.min_by("feature", "_p").alias("feature")))
+        hits = df.join(best, df[field] == best["_v"]).select(*keep, "feature")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
 def set_one_hot(df: DataFrame, feature_cols: list[str],
                 prefixes: dict[str, list[str]] | None = None) -> DataFrame:
     """For state/market/commodity set the feature column whose normalized
@@ -65,8 +102,7 @@ def set_one_hot(df: DataFrame, feature_cols: list[str],
     Column names are normalized on the driver (metadata only) into one
     literal map; each row probes it with its candidates in order.
     """
-    prefixes = prefixes or {"state": ["state_", "State_"], "market": ["market_", "Market_"],
-                            "commodity": ["commodity_", "Commodity_"]}
+    prefixes = prefixes or ONE_HOT_PREFIXES
     norm_to_col = {norm: c for c, norm in norm_names(df.sparkSession, feature_cols).items()}
     lookup = F.create_map(*[x for kv in norm_to_col.items() for x in map(F.lit, kv)]) \
         if norm_to_col else None
@@ -76,10 +112,7 @@ def set_one_hot(df: DataFrame, feature_cols: list[str],
         if field not in df.columns or lookup is None:
             continue
         v = norm_key(field)
-        cands = [norm_key(F.concat(F.lit(p), variant), null_as=None)
-                 for variant in (v, F.replace(v, F.lit(" "), F.lit("_")),
-                                 F.replace(v, F.lit(" "), F.lit("")))
-                 for p in pfx]
+        cands = _candidates(field, pfx)
         target = F.when(v != "", F.coalesce(*[F.try_element_at(lookup, c) for c in cands]))
         out = out.withColumn(f"_oh_{field}", target)
         hits.append(f"_oh_{field}")

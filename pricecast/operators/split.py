@@ -85,7 +85,7 @@ def union_splits(*dfs: DataFrame) -> DataFrame:
 def sample_n(df: DataFrame, n: int, seed: int, key: list[str]) -> DataFrame:
     """Repeatable sample of at most ``n`` rows: the ``n`` smallest seeded
     hashes of the row key (a top-n, so each task keeps at most ``n`` rows)."""
-    h = F.xxhash64(*[F.col(k) for k in key], F.lit(seed))
+    h = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
     return df.withColumn("_h", h).orderBy("_h", *key).limit(n).drop("_h")
 
 

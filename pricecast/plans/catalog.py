@@ -32,15 +32,15 @@ def register(name: str, sql: str | None = None):
 
 
 def round_fixed(c, scale: int = 4):
-    """``floor(x*10^s + 0.5) / 10^s`` in IEEE doubles.
+    """``rint(x*10^s) / 10^s`` in IEEE doubles, half to even.
 
     Written out (instead of ``round``) because Spark rounds through the
     decimal string of a double and DuckDB through binary arithmetic; the
-    explicit formula gives bit-identical results in both engines. Values
-    too large for the BIGINT ``floor`` pass through unchanged.
+    explicit formula is the same in both engines and stays in doubles, so it
+    holds for values of any size.
     """
     m = float(10 ** scale)
-    return F.when(F.abs(c) < 1e12, F.floor(c * m + 0.5) / m).otherwise(c)
+    return F.rint(c * m) / m
 
 
 def finish(df: DataFrame, scale: int = 4) -> DataFrame:

@@ -185,39 +185,39 @@ def q_union(spark, sf_dir):
     return hist.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@register("sample_rows")
+@register("sample_rows", with_fixtures(select=f"""
+SELECT commodity, state, {ID_SQL}, {r4("modal_price")} AS modal_price FROM price_obs
+ORDER BY md5(concat_ws('|', {", ".join(f"CAST({c} AS VARCHAR)" for c in ID)}, '42')), {", ".join(ID)} LIMIT 500"""))
 def q_sample(spark, sf_dir):
-    """Repeatable seeded sample of at most 500 observations (rows-only check)."""
-    return split.sample_n(tb.price_obs(spark, sf_dir), 500, seed=42, key=ID)
+    """Repeatable seeded sample of at most 500 observations."""
+    got = split.sample_n(tb.price_obs(spark, sf_dir), 500, seed=42, key=ID)
+    return finish(got.select("commodity", "state", *ID, "modal_price"))
 
 
 _ONEHOT_SQL = with_fixtures(f"""feats AS (
   SELECT DISTINCT 'state_' || state AS feature, 's' AS kind FROM price_obs WHERE state IS NOT NULL
+  UNION SELECT DISTINCT 'market_' || market, 'm' FROM price_obs WHERE market IS NOT NULL
   UNION SELECT DISTINCT 'Commodity_' || commodity, 'c' FROM price_obs WHERE commodity IS NOT NULL)""",
                             select=f"""
 SELECT r.request_id, f.feature FROM requests r JOIN feats f ON
   (f.kind = 's' AND {norm_sql("coalesce(r.state, '')")} <> ''
    AND {norm_sql("'state_' || " + norm_sql("coalesce(r.state, '')"))} = {norm_sql("f.feature")})
+  OR (f.kind = 'm' AND {norm_sql("coalesce(r.market, '')")} <> ''
+   AND {norm_sql("'market_' || " + norm_sql("coalesce(r.market, '')"))} = {norm_sql("f.feature")})
   OR (f.kind = 'c' AND {norm_sql("coalesce(r.commodity, '')")} <> ''
    AND {norm_sql("'commodity_' || " + norm_sql("coalesce(r.commodity, '')"))} = {norm_sql("f.feature")})""")
 
 
 @register("one_hot_requests", _ONEHOT_SQL)
 def q_onehot(spark, sf_dir):
-    """E4 + P8: requests aligned to a feature list of one-hot columns (named
-    after the history's states and commodities) and switched on by name
-    matching; reported long: (request_id, feature) for every column set to 1."""
+    """The one-hot features (named after the history's states, markets and
+    commodities) that each request switches on, long: (request_id, feature)."""
     obs = tb.price_obs(spark, sf_dir)
-    names = (obs.select(F.concat(F.lit("state_"), "state").alias("f")).distinct()
-             .unionByName(obs.select(F.concat(F.lit("Commodity_"), "commodity").alias("f"))
-                          .distinct()))
-    feature_cols = sorted(r["f"] for r in names.collect())   # column names (metadata) only
-    req = tb.requests(spark, sf_dir)
-    aligned = schema.align_features(req, [*feature_cols, "market_freq"],
-                                    keep=["request_id", "state", "market", "commodity"])
-    hot = encode.set_one_hot(aligned, [*feature_cols, "market_freq"])
-    long = hot.unpivot(["request_id"], feature_cols, "feature", "value")
-    return long.where(F.col("value") == 1).select("request_id", "feature")
+    names = None
+    for field, prefix in (("state", "state_"), ("market", "market_"), ("commodity", "Commodity_")):
+        part = obs.select(F.concat(F.lit(prefix), field).alias("feature")).distinct()
+        names = part if names is None else names.unionByName(part)
+    return encode.one_hot_hits(tb.requests(spark, sf_dir), names, ["request_id"])
 
 
 @register("top_impacts", with_fixtures(_SPLIT_CTE, """st AS (

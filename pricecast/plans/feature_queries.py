@@ -68,8 +68,9 @@ def q_clean(spark, sf_dir):
                             "modal_price", "arrival_quantity"))
 
 
-@register("clean_column_names", with_fixtures(select="""
-SELECT count(*) AS rows FROM price_obs"""))
+@register("clean_column_names", with_fixtures(select=" UNION ALL ".join(
+    f"SELECT '{c}_raw' AS name, count({c}) AS n_values, count(*) AS rows FROM price_obs"
+    for c in ("min_price", "max_price", "modal_price", "arrival_quantity"))))
 def q_clean_cols(spark, sf_dir):
     """Strict name cleaning, required-column check, pruning."""
     obs = tb.price_obs(spark, sf_dir)
@@ -78,7 +79,8 @@ def q_clean_cols(spark, sf_dir):
     schema.require_cols(cleaned, cols=["modal_price_raw", "arrival_date_raw"])
     feats = schema.feature_columns(cleaned, drop=["k1_raw", "k2_raw", "k3_raw"])
     pruned = schema.select_existing(cleaned, [*feats, "not_there"])
-    return pruned.agg(F.count(F.lit(1)).alias("rows"))
+    counts = pruned.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in pruned.columns])
+    return counts.unpivot(["rows"], pruned.columns, "name", "n_values")
 
 
 # ------------------------------------------------------------ W1..W6 N2..N5
@@ -280,13 +282,16 @@ _SEQ_KEY = ["commodity", "state", "market"]
     count(*) OVER w30 AS k,
     lag(modal_price, 30) OVER w AS first_price,
     lag(modal_price, 1) OVER w AS last_price,
-    sum(modal_price + arrival_quantity) OVER w30 AS seq_sum
+    sum(modal_price + arrival_quantity) OVER w30 AS seq_sum,
+    list(CAST(floor(modal_price * 100 + 0.5) AS BIGINT)) OVER w30 AS prices,
+    list(CAST(floor(arrival_quantity * 100 + 0.5) AS BIGINT)) OVER w30 AS quantities
   FROM price_obs
   WINDOW w AS (PARTITION BY commodity, state, market ORDER BY arrival_date, k1, k2, k3),
          w30 AS (PARTITION BY commodity, state, market ORDER BY arrival_date, k1, k2, k3
                  ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING))""", select=f"""
 SELECT commodity, state, {ID_SQL}, {r4("modal_price")} AS modal_price, CAST(k AS BIGINT) AS seq_len,
-       {r4("first_price")} AS seq_first, {r4("last_price")} AS seq_last, {r4("seq_sum")} AS seq_sum
+       {r4("first_price")} AS seq_first, {r4("last_price")} AS seq_last, {r4("seq_sum")} AS seq_sum,
+       md5(array_to_string(prices, ',') || ';' || array_to_string(quantities, ',')) AS seq_digest
 FROM s WHERE k = 30"""))
 def q_sequences(spark, sf_dir):
     """30-row sequence windows per (commodity, state, market) series."""
@@ -297,7 +302,13 @@ def q_sequences(spark, sf_dir):
         "commodity", "state", *ID, "modal_price",
         F.size("seq").cast("bigint").alias("seq_len"),
         F.col("seq")[0][0].alias("seq_first"), F.element_at("seq", -1)[0].alias("seq_last"),
-        F.aggregate("seq", F.lit(0.0), lambda acc, x: acc + x[0] + x[1]).alias("seq_sum")))
+        F.aggregate("seq", F.lit(0.0), lambda acc, x: acc + x[0] + x[1]).alias("seq_sum"),
+        F.md5(F.concat_ws(";", _cents(0), _cents(1))).alias("seq_digest")))
+
+
+def _cents(channel: int):
+    """One channel of a window, oldest first, in hundredths, as text."""
+    return F.concat_ws(",", F.transform("seq", lambda x: F.floor(x[channel] * 100 + 0.5).cast("string")))
 
 
 @register("log_delta", with_fixtures("""s AS (
@@ -309,19 +320,20 @@ def q_sequences(spark, sf_dir):
   FROM price_obs)""", select=f"""
 SELECT commodity, state, {ID_SQL}, {r4("log_p")} AS log_p, {r4("log_p_lag1")} AS log_p_lag1,
        {r4("log_p - log_p_lag1")} AS delta,
+       {r4("exp(log_p_lag1 + 0.25) - 1")} AS pred_price,
        {r4("exp(log_p_lag1) - 1 - prev_price")} AS pred_roundtrip_err,
        {r4("exp(log_p_lag1 + (log_p - log_p_lag1)) - 1 - modal_price")} AS true_roundtrip_err
 FROM s WHERE log_p_lag1 IS NOT NULL AND log_p IS NOT NULL"""))
 def q_log_delta(spark, sf_dir):
-    """W11 + W12: log-delta target and the price reconstruction (persistence
-    delta 0). Reconstructed prices are reported as their round-trip error
-    against the observed prices (exactly representable, tie-free)."""
+    """W11 + W12: log-delta target and the price reconstruction: for a
+    predicted delta of 0.25 as a price, else as the round-trip error against
+    the observed prices (exactly representable, tie-free)."""
     obs = tb.price_obs(spark, sf_dir)
-    d = sequence.log_delta(obs, _SEQ_KEY, ORDER).withColumn("pred_delta", F.lit(0.0))
-    r = sequence.reconstruct(d)
+    d = sequence.log_delta(obs, _SEQ_KEY, ORDER).withColumn("pred_delta", F.lit(0.25))
+    r = sequence.reconstruct(d).withColumn("prev_back", F.expm1("log_p_lag1"))
     return finish(r.select(
         "commodity", "state", *ID, "log_p", "log_p_lag1", "delta",
-        (F.col("pred_price") - F.col("prev_price")).alias("pred_roundtrip_err"),
+        "pred_price", (F.col("prev_back") - F.col("prev_price")).alias("pred_roundtrip_err"),
         (F.col("true_price") - F.col("modal_price")).alias("true_roundtrip_err")))
 
 

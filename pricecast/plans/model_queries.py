@@ -17,6 +17,7 @@ from pricecast.operators.lookup import asof_fallback
 from pricecast.operators.schema import align_features
 from pricecast.plans.catalog import finish, register
 from pricecast.plans.forecast import BandForecaster, confidence, forecast_output
+from pricecast.plans.serve_queries import _FLAGSHIP_SQL
 from pricecast.session import ensure_checkpoint_dir
 from pricecast.sources import tables as tb
 
@@ -111,16 +112,21 @@ def q_m10(spark, sf_dir):
                                              "month_cos", "dow_sin", "dow_cos")]
     hist = train.select("state", "market", "commodity", "arrival_date", "k1", "k2", "k3",
                         *payload)
-    matched = asof_fallback(tb.requests(spark, sf_dir), hist, payload, ["k1", "k2", "k3"])
-    x = align_features(matched, feats, keep=["request_id", "fallback_level"]).fillna(0.0)
+    # market completes the tie-break where series of several markets are matched as one
+    matched = asof_fallback(tb.requests(spark, sf_dir), hist, payload, ["k1", "k2", "k3", "market"])
+    echo = ["request_id", "state", "market", "commodity", "arrival_date", "fallback_level"]
+    x = align_features(matched, feats, keep=echo)
+    # only rows without any match (date_only) have no features at all; those are zero
+    unmatched = F.col("fallback_level") == "date_only"
+    x = x.withColumns({c: F.when(unmatched, F.coalesce(F.col(c), F.lit(0.0))).otherwise(F.col(c)) for c in feats})
     pred = quantile_gbm.predict_interval(models, x.withColumn(TARGET, F.lit(None)), feats)
     out = forecast_output(pred.withColumnsRenamed({"p10": "q10", "p50": "q50", "p90": "q90"}))
-    return finish(out.select("request_id", "fallback_level", "q10", "q50", "q90",
-                             "interval_width",
+    return finish(out.select(*echo, "q10", "q50", "q90", "interval_width",
                              confidence(F.col("fallback_level")).alias("confidence_pct")))
 
 
-@register("stream_forecast_bands")
+@register("stream_forecast_bands", "SELECT request_id, fallback_level, matched_date, q10, q50, q90, interval_width, "
+          "confidence_pct FROM (" + _FLAGSHIP_SQL + ")")
 def q_stream(spark, sf_dir):
     """ST1: the flagship scoring run as a file stream of request batches
     (4 files -> 4 micro-batches) against the history snapshot."""

@@ -63,7 +63,7 @@ def norm_sql(expr: str) -> str:
 
 def r4(expr: str) -> str:
     """SQL twin of ``catalog.round_fixed``: 4-dp rounding in IEEE doubles."""
-    return f"(floor(CAST({expr} AS DOUBLE) * 10000 + 0.5) / 10000)"
+    return f"(round_even(CAST({expr} AS DOUBLE) * 10000, 0) / 10000)"
 
 
 def with_fixtures(*ctes: str, select: str) -> str:
