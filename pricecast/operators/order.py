@@ -65,7 +65,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], col: str, qs: dict[str, floa
 
     Same definition as Spark ``percentile`` / DuckDB ``quantile_cont``:
     position (n-1)q, linear interpolation between its floor and ceiling.
-    ``weight`` names a column that says how many times a row counts.
+    ``weight`` names a column that says how many times a row counts, for rows
+    that are counted beforehand (few of them share a key and value).
 
     One path for every size: rows are first counted per (key, value) - a
     partial aggregate, so a price that half the rows share is one row per
@@ -76,9 +77,13 @@ def exact_quantiles(df: DataFrame, keys: list[str], col: str, qs: dict[str, floa
     """
     times = F.count(F.lit(1)) if weight is None else F.sum(weight)
     d = df.select(*keys, F.col(col).cast("double").alias("_v"), *([weight] if weight else []))
-    counts = d.where(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(times.alias("_c"))
-    ranged = (counts.repartitionByRange(n_parts, *keys, "_v") if n_parts
-              else counts.repartitionByRange(*keys, "_v"))
+    d = d.where(F.col("_v").isNotNull())
+    if weight is None:
+        d = d.groupBy(*keys, "_v").agg(times.alias("_c"))
+    ranged = (d.repartitionByRange(n_parts, *keys, "_v") if n_parts
+              else d.repartitionByRange(*keys, "_v"))
+    if weight is not None:   # counted already: the range partitioning serves the aggregate too
+        ranged = ranged.groupBy(*keys, "_v").agg(times.alias("_c"))
     # the partition number is used twice, so it is fixed by writing it
     s = checkpoint(ranged.withColumn("_pid", F.spark_partition_id()))
     totals = s.groupBy("_pid", *keys).agg(F.sum("_c").alias("_t"))
