@@ -78,20 +78,19 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], default_wei
     The whole budget is ``budget_share`` of all tokens, rounded down.
     """
     out = leaves.withColumn("cap", F.col("tokens").cast("double") * max_epochs)
-    total = leaves.agg(F.floor(F.sum("tokens") * F.lit(float(budget_share))).cast("double").alias("budget"))
-    parents: list[str] = []
-    held = total.withColumn("__root", F.lit(0))
+    # one number, so the first level needs no join
+    total = leaves.agg(F.floor(F.sum("tokens") * F.lit(float(budget_share))).cast("double")).first()[0]
+    held = None
     keys = ["__root"]
     out = out.withColumn("__root", F.lit(0))
     for level in LEVELS:
         nodes = out.groupBy(*keys, level).agg(F.sum("cap").alias("cap"))
-        nodes = _join(nodes, held, keys)
+        nodes = nodes.withColumn("budget", F.lit(total or 0.0)) if held is None else _join(nodes, held, keys)
         # no node is offered more than it can take
         room = F.sum("cap").over(Window.partitionBy(*keys))
         nodes = nodes.withColumn("budget", F.least("budget", room))
         w = _weight(F.col(level), weights.get(level.removeprefix("mix_"), {}), default_weight)
-        parents = [*keys]
-        held = share(nodes, parents, level, "budget", "cap", w).drop("cap")
+        held = share(nodes, keys, level, "budget", "cap", w).drop("cap")
         keys = [*keys, level]
     return _join(leaves, held.drop("__root"), list(LEVELS))
 

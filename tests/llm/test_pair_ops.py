@@ -228,7 +228,10 @@ def test_mixing_edges(spark):
 def test_mixing_plan_is_native(spark):
     frame = table(spark, SF001, "documents")
     plan = mixing.mix(frame, queries.MIX_WEIGHTS)._jdf.queryExecution().executedPlan().toString()
-    assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Cartesian"))
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Cartesian", "NestedLoop"))
+    leaves = spark.createDataFrame([("a", "x", "s1", 10)], "mix_domain string, mix_lang string, mix_source string, tokens long")
+    plan = mixing.budgets(leaves, {}, 1.0, 0.5, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
