@@ -82,24 +82,28 @@ def save_model(model, path: str, feature_cols: list[str]) -> None:
         .coalesce(1).write.mode("overwrite").json(f"{path}/features")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in whatever store it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def load_models(base: str, names: list[str], loader) -> dict:
     """Load several saved models; fail listing every missing piece.
 
-    ``loader`` is the MLlib model class (e.g. ``PipelineModel``).
+    ``loader`` is the MLlib model class (e.g. ``PipelineModel``). Only a path
+    that is not there counts as missing; other failures to load are raised.
     """
     spark = SparkSession.getActiveSession()
     out, missing = {}, []
     for n in names:
-        try:
-            out[n] = loader.load(f"{base}/{n}/model")
-        except Exception:  # noqa: BLE001 - any load failure means the piece is missing
-            missing.append(f"{n}/model")
+        absent = [part for part in ("model", "features") if not _exists(spark, f"{base}/{n}/{part}")]
+        if absent:
+            missing += [f"{n}/{part}" for part in absent]
             continue
-        try:
-            row = spark.read.json(f"{base}/{n}/features").first()
-            out[f"{n}_features"] = json.loads(row["features"])
-        except Exception:  # noqa: BLE001
-            missing.append(f"{n}/features")
+        out[n] = loader.load(f"{base}/{n}/model")
+        row = spark.read.json(f"{base}/{n}/features").first()
+        out[f"{n}_features"] = json.loads(row["features"])
     if missing:
         raise FileNotFoundError(f"Missing model artifacts: {missing}")
     return out

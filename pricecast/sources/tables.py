@@ -16,21 +16,9 @@ SERVE_KEY = ["state", "market", "commodity"]                # 3-col serving key
 TIEBREAK = ["k1", "k2", "k3"]                               # unique within (series, date)
 
 
-_READERS: dict[tuple[str, int, str], DataFrame] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet table reader, memoized per session and path.
-
-    A DataFrame is an immutable plan, so reusing it only skips the repeated
-    file listing and footer-based schema inference on the driver."""
-    path = f"{sf_dir}/{name}.parquet"
-    # the application id changes with every new SparkContext, so a reader is
-    # never reused across a stopped and a new session
-    key = (spark.sparkContext.applicationId, id(spark), path)
-    if key not in _READERS:
-        _READERS[key] = spark.read.parquet(path)
-    return _READERS[key]
+    """Parquet table reader; listed anew each time, so a rewritten table is seen."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _supplier_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
