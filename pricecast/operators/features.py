@@ -1,6 +1,6 @@
 """Leakage-safe time-series and context features.
 
-Series windows (lags, rolling) run through ``order.chunked`` so a hot
+Series windows (lags, rolling) run through ``order.chunked``, so a long
 series is cut into chunks with a halo instead of landing in one task; the
 same window partitioning serves every lag and rolling column (one shuffle).
 Per-group statistics (market frequency, z-score) are hash aggregates with
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pricecast.functions.calendar import calendar_columns
 from pricecast.functions.numeric import log1p0
-from pricecast.operators.order import chunked, finish_chunked
+from pricecast.operators.order import CHUNK_ROWS, chunked, finish_chunked
 
 DATE = "arrival_date"
 
@@ -29,7 +29,8 @@ def _all_not_null(keys: list[str]) -> Column:
 def add_series_windows(df: DataFrame, key: list[str], order: list[str], col: str,
                        lags: tuple[int, ...] = (1, 3, 7), roll: int | None = 7,
                        roll_fns: tuple[str, ...] = ("mean", "std"),
-                       lag_prefix: str | None = None, roll_prefix: str | None = None) -> DataFrame:
+                       lag_prefix: str | None = None, roll_prefix: str | None = None,
+                       chunk_rows: int = CHUNK_ROWS, counted: DataFrame | None = None) -> DataFrame:
     """Row lags and a shifted rolling window of ``col`` per series.
 
     * ``{prefix}_lag_{n}``: value ``n`` rows back in the series;
@@ -40,7 +41,7 @@ def add_series_windows(df: DataFrame, key: list[str], order: list[str], col: str
     lag_prefix = lag_prefix or col.split("_")[0]
     roll_prefix = roll_prefix or lag_prefix
     halo = max([*lags, roll or 0])
-    frame, parts = chunked(df, key, order, halo)
+    frame, parts = chunked(df, key, order, halo, chunk_rows=chunk_rows, counted=counted)
     w = Window.partitionBy(*parts).orderBy(*order)
     ok = _all_not_null(key)
     cols: dict[str, Column] = {}
@@ -76,10 +77,11 @@ def add_group_zscore(df: DataFrame, key: list[str], col: str, out: str,
 
 
 def add_lag_by(df: DataFrame, key: list[str], order: list[str], col: str, out: str,
-               n: int = 1) -> DataFrame:
+               n: int = 1, bucket: list[str] | None = None, chunk_rows: int = CHUNK_ROWS,
+               counted: DataFrame | None = None) -> DataFrame:
     """Lag of ``col`` within ``key`` under an arbitrary row order
     (the reference's rain lag crosses series inside a district)."""
-    frame, parts = chunked(df, key, order, n)
+    frame, parts = chunked(df, key, order, n, bucket, chunk_rows, counted)
     w = Window.partitionBy(*parts).orderBy(*order)
     return finish_chunked(frame.withColumn(out, F.when(_all_not_null(key),
                                                        F.lag(col, n).over(w))))
@@ -101,6 +103,7 @@ def feature_table(df: DataFrame, series_key: list[str], tiebreak: list[str],
     price lags/rolling, weather interactions and rain lag; rows without a
     7-row lag are dropped."""
     df = df.where(F.col(DATE).isNotNull())
+    obs = df      # the stages below keep its rows, so series are counted on it
     cal = calendar_columns(DATE)
     df = df.withColumns({k: cal[k] for k in ("month", "day_of_week", "weekofyear",
                                              "month_sin", "month_cos", "dow_sin", "dow_cos")})
@@ -110,11 +113,12 @@ def feature_table(df: DataFrame, series_key: list[str], tiebreak: list[str],
         df = add_group_zscore(df, ["commodity", "state"], "arrival_quantity", "arrival_qty_z")
     order = [DATE, *tiebreak]
     df = add_series_windows(df, series_key, order, price_col, lags=(1, 3, 7), roll=7,
-                            lag_prefix="modal", roll_prefix="modal")
+                            lag_prefix="modal", roll_prefix="modal", counted=obs)
     df = weather_interactions(df)
     if "prectotcorr" in df.columns:
-        rain_order = [DATE, *tiebreak] if rain_by_date else ["commodity", "market", DATE, *tiebreak]
-        df = add_lag_by(df, ["state", "district"], rain_order, "prectotcorr", "rain_lag_1")
+        lead = [DATE] if rain_by_date else ["commodity", "market", DATE]
+        df = add_lag_by(df, ["state", "district"], [*lead, *tiebreak], "prectotcorr", "rain_lag_1",
+                        bucket=lead, counted=obs)
     return df.where(F.col("modal_lag_7").isNotNull())
 
 

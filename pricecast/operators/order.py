@@ -7,25 +7,29 @@ of per-(partition, key) counts turns local row indexes into global ranks.
 That table has at most #keys + #partitions rows; its window runs per key
 over the partitions that key spans.
 
-On top of it:
+Beside it:
 * ``exact_quantiles`` - percentile_cont per key from value counts (Spark's
   exact ``percentile`` aggregate keeps a whole group's values in one buffer);
-* ``chunked`` - series windows over a hot key, split into fixed-size chunks
-  with a halo of preceding rows, so lag/rolling frames stay exact.
+* ``chunked`` - series windows whose series are cut, by counts per date, into
+  chunks with a halo of preceding rows, so lag/rolling frames stay exact.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricecast.session import checkpoint
 
-# A key group larger than this is never processed by one window task.
+# Rows of a series that one window task takes, up to whole buckets.
 CHUNK_ROWS = 2_000_000
 
+# Rows without a series are spread over this many window partitions.
+STRAY_CHUNKS = 4096
+
 
 def with_positions(df: DataFrame, keys: list[str], order: list[str | Column],
                    n_parts: int | None = None) -> DataFrame:
@@ -120,40 +124,65 @@ def known_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df
 
 
-def max_group_rows(df: DataFrame, keys: list[str]) -> int:
-    """Largest key group (a partial-aggregated count; one small job)."""
-    if not keys:
-        return df.count()
-    row = df.groupBy(*keys).count().agg(F.max("count")).first()
-    return int(row[0] or 0)
-
-
-def chunked(df: DataFrame, keys: list[str], order: list[str | Column], halo: int,
-            chunk_rows: int | None = None) -> tuple[DataFrame, list[str]]:
+def chunked(df: DataFrame, keys: list[str], order: list[str], halo: int,
+            bucket: list[str] | None = None, chunk_rows: int = CHUNK_ROWS,
+            counted: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """Prepare ``df`` for series windows with frames reaching ``halo`` rows back.
 
     Returns ``(frame, partition_cols)``: window over
-    ``partitionBy(*partition_cols).orderBy(*order)``, then drop rows with
-    ``_halo`` true. When every key fits in ``chunk_rows`` rows this is the
-    plain key partitioning (no extra shuffle); otherwise each key is cut into
-    chunks of ``chunk_rows`` consecutive rows and the last ``halo`` rows of a
-    chunk are repeated, flagged, at the head of the next one.
+    ``partitionBy(*partition_cols).orderBy(*order)``, then ``finish_chunked``.
+
+    One path for every size. Rows are counted per (key, ``bucket``), where
+    ``bucket`` is a leading part of ``order`` (default: its first column, the
+    date); a running sum over these counts cuts each series into chunks of
+    whole buckets that begin within ``chunk_rows`` rows of each other, and
+    finds the earlier buckets that hold the ``halo`` rows before each chunk.
+    Rows of such a bucket are repeated, flagged, at the head of that chunk. A
+    halo may hold more than ``halo`` rows, which no frame reaches.
+
+    Only series of several chunks need an entry, so the written list of
+    buckets is empty or small unless much of the data is in long series; the
+    planner broadcasts or shuffles it by its written size. The rows
+    themselves move once, for the window. A single bucket is never cut: one
+    series' rows of one date meet in one task.
+
+    Rows with a null key belong to no series. They are spread over chunks of
+    their own by a hash, so callers must not use what a window says of them.
+    ``counted`` is a frame with the same keys and buckets as ``df``, for
+    callers whose ``df`` is costly to compute.
     """
-    chunk_rows = CHUNK_ROWS if chunk_rows is None else chunk_rows
-    if max_group_rows(df, keys) <= chunk_rows:
-        return df.withColumn("_halo", F.lit(False)), list(keys)
-    p = with_positions(df, keys, order)
-    chunk = F.floor(F.col("_pos") / chunk_rows)
-    in_tail = (F.col("_pos") % chunk_rows) >= (chunk_rows - halo)
-    tags = F.when(in_tail & F.lit(halo > 0),
-                  F.array(F.struct(chunk.alias("c"), F.lit(False).alias("h")),
-                          F.struct((chunk + 1).alias("c"), F.lit(True).alias("h"))))\
-            .otherwise(F.array(F.struct(chunk.alias("c"), F.lit(False).alias("h"))))
-    out = (p.withColumn("_tag", F.explode(tags))
-            .withColumn("_chunk", F.col("_tag.c")).withColumn("_halo", F.col("_tag.h"))
-            .drop("_tag", "_pos", "_n"))
+    bucket = list(bucket or order[:1])
+    base = known_keys(df if counted is None else counted, keys)
+    per_bucket = base.groupBy(*keys, *bucket).agg(F.count(F.lit(1)).alias("_c"))
+    series = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    along = series.orderBy(*bucket)
+    b = (per_bucket.withColumn("_end", F.sum("_c").over(along))
+                   .withColumn("_total", F.sum("_c").over(series))
+                   .where(F.col("_total") > chunk_rows)
+                   .withColumn("_beg", F.col("_end") - F.col("_c"))
+                   .withColumn("_chunk", F.floor(F.col("_beg") / chunk_rows))
+                   .withColumn("_opens", F.col("_chunk") != F.lag("_chunk").over(along)))
+    if halo > 0:
+        # chunks that open less than ``halo`` rows after this bucket's end, seen
+        # from the next bucket, which begins there
+        near = series.orderBy("_beg").rangeBetween(0, halo - 1)
+        ahead = F.collect_list(F.when(F.col("_opens"), F.col("_chunk"))).over(near)
+        b = b.withColumn("_ahead", ahead).withColumn("_serves", F.lead("_ahead").over(along))
+    else:
+        b = b.withColumn("_serves", F.lit(None).cast("array<bigint>"))
+    cols = [*keys, *bucket]
+    b = checkpoint(b.select(*[F.col(c).alias(f"_b_{c}") for c in cols], "_chunk", "_serves"))
+    j = df.join(b, reduce(and_, [df[c].eqNullSafe(b[f"_b_{c}"]) for c in cols]), "left")
+    own = F.coalesce("_chunk", F.lit(0).cast("bigint"))
+    if keys:
+        stray = reduce(or_, [df[k].isNull() for k in keys])
+        own = F.when(stray, F.pmod(F.xxhash64(*order), F.lit(STRAY_CHUNKS))).otherwise(own)
+    at = F.concat(F.array(F.struct(own.alias("c"), F.lit(False).alias("h"))),
+                  F.coalesce(F.transform("_serves", lambda c: F.struct(c.alias("c"), F.lit(True).alias("h"))),
+                             F.array().cast("array<struct<c:bigint,h:boolean>>")))
+    out = j.select(*[df[c] for c in df.columns], F.inline(at).alias("_chunk", "_halo"))
     return out, [*keys, "_chunk"]
 
 
 def finish_chunked(df: DataFrame) -> DataFrame:
-    return df.where(~F.col("_halo")).drop("_halo", *(["_chunk"] if "_chunk" in df.columns else []))
+    return df.where(~F.col("_halo")).drop("_halo", "_chunk")

@@ -68,31 +68,55 @@ def test_quantiles_of_a_price_that_half_the_rows_share(spark):
     assert all(abs(got[c] - want[c]) < 1e-9 for c in qs)
 
 
+def _close(a, b):
+    if a is None or b is None or not isinstance(a, float):
+        return a == b
+    return abs(a - b) < 1e-9
+
+
+def _bursts(spark, n=900, seed=11):
+    """Series with several rows a date, some dates longer than a chunk, some empty, some null."""
+    rnd = random.Random(seed)
+    data = []
+    for i in range(n):
+        day = rnd.choice([None, *range(12), *[40] * 6, *range(60, 90)])
+        data.append(("hot" if i % 3 == 0 else f"k{i % 5}", day, i, None if i % 7 == 0 else float(i % 31)))
+    return spark.createDataFrame(data, "key string, d int, i int, v double")
+
+
 def test_chunked_windows_equal_plain(spark):
-    """The chunk + halo path (forced by a tiny chunk size) equals one window."""
+    """Chunks and halos give what one window over the whole series gives."""
+    for df, by in ((_hot_frame(spark), ["t"]), (_bursts(spark), ["d", "i"])):
+        w = Window.partitionBy("key").orderBy(*by)
+        wf = w.rowsBetween(-7, -1)
+        plain = rows(df.select("key", by[-1], F.lag("v", 1).over(w), F.lag("v", 7).over(w),
+                               F.when(F.count("v").over(wf) == 7, F.avg("v").over(wf))))
+        for size in (1, 3, 50, 10_000):
+            got = rows(add_series_windows(df, ["key"], by, "v", lags=(1, 7), roll=7, roll_fns=("mean",),
+                                          chunk_rows=size), "key", by[-1], "v_lag_1", "v_lag_7", "v_roll_mean_7")
+            assert len(got) == len(plain) == df.count()
+            assert all(_close(u, v) for x, y in zip(got, plain) for u, v in zip(x, y))
+
+
+def test_chunks_bound_a_series(spark):
+    """No chunk of a hot series exceeds the chunk size by more than one date and its halo."""
     df = _hot_frame(spark)
-    old = order.CHUNK_ROWS
-    plain = add_series_windows(df, ["key"], ["t"], "v", lags=(1, 3, 7), roll=7)
-    try:
-        order.CHUNK_ROWS = 50
-        chunked = add_series_windows(df, ["key"], ["t"], "v", lags=(1, 3, 7), roll=7)
-    finally:
-        order.CHUNK_ROWS = old
-    cols = ["key", "t", "v_lag_1", "v_lag_3", "v_lag_7", "v_roll_mean_7", "v_roll_std_7"]
-    a, b = rows(plain, *cols), rows(chunked, *cols)
-    assert len(a) == len(b) == df.count()
-    for x, y in zip(a, b):
-        for u, v in zip(x, y):
-            assert (u is None and v is None) or abs(u - v) < 1e-9 if isinstance(u, float) else u == v
-
-
-def test_chunk_path_ffill_and_sequences(spark, monkeypatch):
-    df = _hot_frame(spark, n=900)
-    plain_ff = rows(ffill(df, ["key"], ["t"], "v"), "key", "t", "v")
-    plain_seq = rows(sequences(df, ["key"], ["t"], ["v"], "v", n=5), "key", "t")
-    monkeypatch.setattr(order, "CHUNK_ROWS", 40)
-    assert rows(ffill(df, ["key"], ["t"], "v"), "key", "t", "v") == plain_ff
-    assert rows(sequences(df, ["key"], ["t"], ["v"], "v", n=5), "key", "t") == plain_seq
+    frame, parts = order.chunked(df, ["key"], ["t"], halo=7, chunk_rows=40)
+    assert frame.groupBy(*parts).count().agg(F.max("count")).first()[0] <= 47
+    assert frame.where(~F.col("_halo")).count() == df.count()
+
+
+def test_chunked_ffill_and_sequences(spark):
+    for df, by in ((_hot_frame(spark, n=900), ["t"]), (_bursts(spark), ["d", "i"])):
+        plain_ff = rows(ffill(df, ["key"], by, "v").select("key", by[-1], F.coalesce("v", F.lit(-1.0))))
+        plain_seq = rows(sequences(df, ["key"], by, ["i" if "i" in by else "t"], "v", n=5), "key", by[-1], "seq")
+        whole = rows(sequences(df, None, by, ["v"], "v", n=5), by[-1])
+        for size in (2, 40):
+            got = ffill(df, ["key"], by, "v", chunk_rows=size)
+            assert rows(got.select("key", by[-1], F.coalesce("v", F.lit(-1.0)))) == plain_ff
+            assert rows(sequences(df, ["key"], by, ["i" if "i" in by else "t"], "v", n=5, chunk_rows=size),
+                        "key", by[-1], "seq") == plain_seq
+            assert rows(sequences(df, None, by, ["v"], "v", n=5, chunk_rows=size), by[-1]) == whole
 
 
 def test_ffill_matches_pandas(spark):
@@ -104,8 +128,8 @@ def test_ffill_matches_pandas(spark):
                                    pdf["v"].reset_index(drop=True), check_names=False)
 
 
-def test_null_series_keys_are_no_series(spark, monkeypatch):
-    """As with grouped pandas frames: null-key rows fill nothing and start no window, in either branch."""
+def test_null_series_keys_are_no_series(spark):
+    """As with grouped pandas frames: null-key rows fill nothing and start no window."""
     data = [(None, t, float(t) if t % 3 else None) for t in range(60)] + [("a", t, float(t) if t % 4 else None) for t in range(60)]
     df = spark.createDataFrame(data, "key string, t int, v double")
     plain = rows(ffill(df, ["key"], ["t"], "v").select("key", "t", F.coalesce("v", F.lit(-1.0)).alias("v")), "t", "v")
@@ -113,6 +137,5 @@ def test_null_series_keys_are_no_series(spark, monkeypatch):
     seq = sequences(df, ["key"], ["t"], ["v"], "v", n=5)
     assert seq.where("key is null").count() == 0 and seq.count() == 55
     assert log_delta(df.na.fill(1.0), ["key"], ["t"], "v").where("key is null").count() == 0
-    monkeypatch.setattr(order, "CHUNK_ROWS", 16)
-    assert rows(ffill(df, ["key"], ["t"], "v").select("key", "t", F.coalesce("v", F.lit(-1.0)).alias("v")), "t", "v") == plain
-    assert sequences(df, ["key"], ["t"], ["v"], "v", n=5).count() == 55
+    assert rows(ffill(df, ["key"], ["t"], "v", chunk_rows=16).select("key", "t", F.coalesce("v", F.lit(-1.0)).alias("v")), "t", "v") == plain
+    assert sequences(df, ["key"], ["t"], ["v"], "v", n=5, chunk_rows=16).count() == 55
