@@ -84,7 +84,8 @@ def q_clean_cols(spark, sf_dir):
 
 
 # ------------------------------------------------------------ W1..W6 N2..N5
-_FEATURES_SQL = with_fixtures(_OBS_W, f"""f AS (
+FEATURES_CTES = _OBS_W + """,
+f AS (
   SELECT *,
     month(arrival_date) AS month, isodow(arrival_date) - 1 AS day_of_week,
     weekofyear(arrival_date) AS weekofyear,
@@ -112,7 +113,9 @@ _FEATURES_SQL = with_fixtures(_OBS_W, f"""f AS (
     t2m_max - t2m_min AS temp_range, t2m * rh2m AS temp_x_humidity,
     lag(prectotcorr, 1) OVER (PARTITION BY state, district
                               ORDER BY commodity, market, arrival_date, k1, k2, k3) AS rain_lag_1
-  FROM obs_w)""", select=f"""
+  FROM obs_w)"""
+
+_FEATURES_SQL = with_fixtures(FEATURES_CTES, select=f"""
 SELECT commodity, state, district, {ID_SQL},
        CAST(month AS BIGINT) AS month, CAST(day_of_week AS BIGINT) AS day_of_week,
        CAST(weekofyear AS BIGINT) AS weekofyear,

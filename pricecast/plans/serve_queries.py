@@ -22,14 +22,14 @@ _HIST = f"""hist AS (
          arrival_date AS d, k1, k2, k3, min_price, max_price, arrival_quantity, modal_price
   FROM price_obs WHERE arrival_date IS NOT NULL)"""
 
-_REQ = f"""req AS (
+REQ_CTE = f"""req AS (
   SELECT request_id, state, market, commodity, arrival_date,
          {norm_sql("coalesce(state, '')")} AS key_state,
          {norm_sql("coalesce(market, '')")} AS key_market,
          {norm_sql("coalesce(commodity, '')")} AS key_commodity
   FROM requests)"""
 
-_CAND = """cand AS (
+CANDIDATES_CTE = """cand AS (
   SELECT r.request_id, 0 AS lvl, 'exact' AS name, h.* FROM req r JOIN hist h
     ON h.s = r.key_state AND h.m = r.key_market AND h.c = r.key_commodity AND h.d <= r.arrival_date
   UNION ALL
@@ -45,14 +45,15 @@ best AS (
   SELECT * FROM (
     SELECT *, row_number() OVER (PARTITION BY request_id
                                  ORDER BY lvl, d DESC, k1 DESC, k2 DESC, k3 DESC, m DESC) AS rn
-    FROM cand) WHERE rn = 1),
-matched AS (
+    FROM cand) WHERE rn = 1)"""
+
+_MATCHED = """matched AS (
   SELECT r.*, coalesce(b.name, 'date_only') AS fallback_level, b.d AS matched_date,
          b.min_price, b.max_price, b.arrival_quantity, b.k1, b.k2, b.k3
   FROM req r LEFT JOIN best b ON b.request_id = r.request_id)"""
 
 
-_ASOF_SQL = with_fixtures(_HIST, _REQ, _CAND, select=f"""
+_ASOF_SQL = with_fixtures(_HIST, REQ_CTE, CANDIDATES_CTE, _MATCHED, select=f"""
 SELECT request_id, state, market, commodity, arrival_date, key_state, key_market, key_commodity,
        fallback_level, matched_date, {r4("min_price")} AS min_price, {r4("max_price")} AS max_price,
        {r4("arrival_quantity")} AS arrival_quantity, k1, CAST(k2 AS BIGINT) AS k2, k3,
@@ -113,7 +114,7 @@ scored AS (
  AND b.bc = CASE WHEN m.fallback_level IN ('exact', 'state_commodity', 'commodity_only')
                  THEN m.key_commodity ELSE '' END)"""
 
-_FLAGSHIP_SQL = with_fixtures(_HIST, _REQ, _CAND, _BANDS, select=f"""
+_FLAGSHIP_SQL = with_fixtures(_HIST, REQ_CTE, CANDIDATES_CTE, _MATCHED, _BANDS, select=f"""
 SELECT request_id, state, market, commodity, arrival_date, fallback_level, matched_date,
        {r4("q10")} AS q10, {r4("q50")} AS q50, {r4("q90")} AS q90,
        {r4("q90 - q10")} AS interval_width,
@@ -139,7 +140,7 @@ def q_forecast_bands(spark, sf_dir):
                              "fallback_tone"))
 
 
-@register("fallback_level_counts", with_fixtures(_HIST, _REQ, _CAND, select="""
+@register("fallback_level_counts", with_fixtures(_HIST, REQ_CTE, CANDIDATES_CTE, _MATCHED, select="""
 SELECT fallback_level, (matched_date IS NOT NULL AND matched_date > arrival_date) AS undated,
        count(*) AS n_requests
 FROM matched GROUP BY ALL"""))

@@ -7,7 +7,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from pricecast.models import arima
-from pricecast.models.attribution import permutation_attribution
+from pricecast.models.attribution import drawn_pairs, permutation_attribution
 from pricecast.models.common import assemble
 from pricecast.operators.sequence import sequences
 from pricecast.plans.forecast import BandForecaster, forecast_bands
@@ -47,11 +47,13 @@ def test_attribution_is_additive(spark):
     contrib = permutation_attribution(model, x, bg, feats, ["id"], n_perm=3)
     total = contrib.groupBy("id").agg(F.sum("impact").alias("s"))
     fx = model.transform(assemble(x, feats)).select("id", "prediction")
-    base = model.transform(assemble(bg.agg(*[F.avg(c).alias(c) for c in feats]), feats))\
-        .first()["prediction"]
+    drawn = drawn_pairs(x, bg, feats, ["id"], n_perm=3).select("id", *[F.col(f"_b_{c}").alias(c) for c in feats])
+    assert drawn.join(bg.select(*feats), feats).count() == drawn.count() == 15   # real background rows
+    base = {r["id"]: r["b"] for r in model.transform(assemble(drawn, feats))
+            .groupBy("id").agg(F.avg("prediction").alias("b")).collect()}
     got = {r["id"]: r["s"] for r in total.collect()}
     for r in fx.collect():
-        assert abs(got[r["id"]] - (r["prediction"] - base)) < 1e-6
+        assert abs(got[r["id"]] - (r["prediction"] - base[r["id"]])) < 1e-6
 
 
 def test_arima_short_and_regular_series():
