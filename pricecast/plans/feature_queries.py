@@ -360,20 +360,23 @@ def q_ffill(spark, sf_dir):
     return finish(out.select("commodity", "state", "district", *ID, "modal_price"))
 
 
-@register("fill_group_median", with_fixtures(_OBS_W, """g AS (
-  SELECT *, CASE WHEN k2 = 1 THEN NULL ELSE t2m END AS t2m_gap FROM obs_w),
-med AS (SELECT state, arrival_date, quantile_cont(t2m_gap, 0.5) AS gm FROM g
+_WEATHER = ["t2m", "t2m_max", "t2m_min", "prectotcorr", "rh2m", "ws2m"]
+
+
+@register("fill_group_median", with_fixtures(_OBS_W, f"""g AS (
+  SELECT * REPLACE ({", ".join(f"CASE WHEN k2 <> {i} THEN {c} END AS {c}" for i, c in enumerate(_WEATHER, 1))}) FROM obs_w),
+med AS (SELECT state, arrival_date, {", ".join(f"quantile_cont({c}, 0.5) AS m_{c}" for c in _WEATHER)} FROM g
         GROUP BY state, arrival_date),
-f1 AS (SELECT g.*, coalesce(g.t2m_gap, med.gm) AS t2m_f FROM g LEFT JOIN med
+f1 AS (SELECT g.* REPLACE ({", ".join(f"coalesce(g.{c}, m_{c}) AS {c}" for c in _WEATHER)}) FROM g LEFT JOIN med
        ON g.state = med.state AND g.arrival_date = med.arrival_date),
-allm AS (SELECT quantile_cont(t2m_f, 0.5) AS am FROM f1)""", select=f"""
-SELECT {ID_SQL}, {r4("coalesce(t2m_f, am)")} AS t2m FROM f1, allm"""))
+allm AS (SELECT {", ".join(f"quantile_cont({c}, 0.5) AS a_{c}" for c in _WEATHER)} FROM f1)""", select=f"""
+SELECT {ID_SQL}, {", ".join(f"{r4(f'coalesce({c}, a_{c})')} AS {c}" for c in _WEATHER)} FROM f1, allm"""))
 def q_fill_median(spark, sf_dir):
-    """Weather gaps filled by the (state, date) median, then the global median."""
+    """Gaps of the six weather columns filled by the (state, date) median, then the global median."""
     obs = _obs_weather(spark, sf_dir)
-    obs = obs.withColumn("t2m", F.when(F.col("k2") == 1, F.lit(None)).otherwise(F.col("t2m")))
-    out = clean.fill_group_median(obs, ["state", "arrival_date"], ["t2m"])
-    return finish(out.select(*ID, "t2m"))
+    obs = obs.withColumns({c: F.when(F.col("k2") != i, F.col(c)) for i, c in enumerate(_WEATHER, 1)})
+    out = clean.fill_group_median(obs, ["state", "arrival_date"], _WEATHER)
+    return finish(out.select(*ID, *_WEATHER))
 
 
 @register("iqr_cap", with_fixtures("""q AS (
