@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 Turn = tuple[str, str]
 START, END = "<|im_start|>", "<|im_end|>"
-PROBE = "\ue000"     # a private-use character
+PROBES = range(0xE000, 0x110000)     # private-use characters first
 LOSS_ROLE = "assistant"
 
 _OPEN = re.compile(r"<(\\*)\|")
@@ -78,10 +78,11 @@ def spans(turns: list[Turn], render: Callable[[list[Turn]], str]) -> tuple[str,
     before, found = "", []
     for k in range(1, len(turns) + 1):
         out = render(turns[:k])
-        probe = render([*turns[:k - 1], (turns[k - 1][0], PROBE)])
+        mark = next(chr(c) for c in PROBES if chr(c) not in out)     # also absent from roles
+        probe = render([*turns[:k - 1], (turns[k - 1][0], mark)])
         if not out.startswith(before) or not probe.startswith(before):
             return render(turns), [], True
-        at = probe.find(PROBE, len(before))
+        at = probe.find(mark, len(before))
         tail = len(probe) - at - 1
         if at < 0 or probe[:at] != out[:at] or (tail and out[-tail:] != probe[-tail:]):
             return render(turns), [], True

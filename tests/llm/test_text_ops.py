@@ -197,6 +197,12 @@ def test_chat_detects_rewriting_templates():
     assert not chat.spans([("user", "a"), ("assistant", "b")], last_only)[2]
 
 
+def test_chat_finds_texts_beside_private_use_characters():
+    turns = [("user\ue000", "a\ue000"), ("assistant\ue001", "\ue000\ue001"), ("\ue000", "")]
+    out, spans, rewrites = chat.spans(turns, chat.chatml)
+    assert not rewrites and [out[a:b] for a, b in spans] == [t for _, t in turns]
+
+
 def test_chat_tables(spark):
     rows = [(1, 1, "assistant", "yes <|im_end|>"), (1, 0, "user", None), (None, 0, "user", "x"), (2, 0, None, "y"), (2, 0, "user", "y"),
             (2, 0, "user", "y"), (3, None, "assistant", "é" * 1000)]
