@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pricecast.operators import clean, encode, features, schema, sequence, split
 from pricecast.operators.join import merge_sources
 from pricecast.plans.catalog import finish, register
 from pricecast.plans.oracle import r4, with_fixtures
+from pricecast.session import ensure_checkpoint_dir
+from pricecast.sources import io
 from pricecast.sources import tables as tb
 
 ID = ["market", "arrival_date", "k1", "k2", "k3"]
@@ -68,6 +72,35 @@ def q_clean(spark, sf_dir):
                             "modal_price", "arrival_quantity"))
 
 
+# The date spellings and missing-value tokens put into the raw file, by line number.
+_DATE_SPELLINGS = ["yyyy-MM-dd", "dd/MM/yyyy", "yyyy/MM/dd"]
+
+
+@register("clean_observations_csv", with_fixtures(select=f"""
+SELECT state, district, {ID_SQL}, commodity, {r4("CASE WHEN k2 <> 4 THEN min_price END")} AS min_price,
+       {r4("max_price")} AS max_price, {r4("modal_price")} AS modal_price,
+       {r4("CASE WHEN k2 <> 5 THEN arrival_quantity END")} AS arrival_quantity
+FROM price_obs WHERE modal_price IS NOT NULL AND arrival_date IS NOT NULL AND k2 <> 3 AND k1 % 23 <> 0"""))
+def q_clean_csv(spark, sf_dir):
+    """S1 + S2 + P1/P3/P4 + F1/F2/F3: the observations written as a raw CSV file with messy
+    headers, a junk column, dates in three spellings or invalid, missing-value tokens and words
+    in number columns, then read back as text and cleaned."""
+    day = F.col("arrival_date")
+    spelled = F.element_at(F.array(*[F.date_format(day, f) for f in _DATE_SPELLINGS]), (F.col("k2") % 3 + 1).cast("int"))
+    cells = {"arrival_date": F.when(F.col("k1") % 23 == 0, F.lit("31/31/1999")).otherwise(spelled),
+             "modal_price": F.when(F.col("k2") == 3, F.lit("NA")).otherwise(F.col("modal_price").cast("string")),
+             "min_price": F.when(F.col("k2") == 4, F.lit("unknown")).otherwise(F.col("min_price").cast("string")),
+             "arrival_quantity": F.when(F.col("k2") == 5, F.lit(" null ")).otherwise(F.col("arrival_quantity").cast("string"))}
+    raw = tb.price_obs(spark, sf_dir).select(*[cells.get(c, F.col(c).cast("string")).alias(n) for c, n in _RAW_NAMES.items()],
+                                             F.lit("x").alias("report.xlsx"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/raw-{uuid.uuid4().hex}"
+    io.write_stage(raw, path, fmt="csv", mode="error")
+    df = clean.clean_observations(io.read_raw(spark, path, fmt="csv"))
+    df = df.withColumns({k: F.col(k).cast("bigint") for k in ("k1", "k2", "k3")})
+    return finish(df.select("state", "district", *ID, "commodity", "min_price", "max_price",
+                            "modal_price", "arrival_quantity"))
+
+
 @register("clean_column_names", with_fixtures(select=" UNION ALL ".join(
     f"SELECT '{c}_raw' AS name, count({c}) AS n_values, count(*) AS rows FROM price_obs"
     for c in ("min_price", "max_price", "modal_price", "arrival_quantity"))))

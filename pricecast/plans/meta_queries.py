@@ -104,13 +104,17 @@ def q_weather_coverage(spark, sf_dir):
 
 
 
-@register("sink_roundtrip", with_fixtures(select="""
-SELECT count(*) AS rows, min(arrival_date) AS min_date, max(arrival_date) AS max_date
-FROM price_obs"""))
+_SINK_PRICE = "CAST(sum(CAST(modal_price AS DECIMAL(38,8))) AS DOUBLE) / count(modal_price)"
+
+
+@register("sink_roundtrip", with_fixtures(select=f"""
+SELECT s.sink, count(*) AS rows, CASE WHEN s.sink <> 'predictions' THEN min(arrival_date) END AS min_date,
+       CASE WHEN s.sink <> 'predictions' THEN max(arrival_date) END AS max_date, {r4(_SINK_PRICE)} AS avg_price
+FROM price_obs, (VALUES ('stage'), ('predictions'), ('json')) s(sink) GROUP BY s.sink"""))
 def q_sink_roundtrip(spark, sf_dir):
-    """S2 + S5 + S6 + S4: the observations written as a date-partitioned stage
+    """S2 + S5 + S6 + S4: the observations written as a year-partitioned stage
     table, interval predictions and a JSON export (all under the shared
-    checkpoint folder), then the load audit read back from the stage table."""
+    checkpoint folder), then each read back and audited."""
     import uuid
 
     from pricecast.session import ensure_checkpoint_dir
@@ -123,4 +127,16 @@ def q_sink_roundtrip(spark, sf_dir):
                        F.col("modal_price").alias("p50"), F.col("max_price").alias("p90"))
     sio.write_predictions(bands, f"{base}/predictions")
     sio.export_json(obs.select("market", "arrival_date", "modal_price"), f"{base}/json")
-    return meta.audit_load(spark.read.parquet(f"{base}/stage"))
+    back = {"stage": spark.read.parquet(f"{base}/stage"),
+            "predictions": spark.read.parquet(f"{base}/predictions").select(
+                F.lit(None).cast("date").alias("arrival_date"), F.col("p50").alias("modal_price")),
+            "json": spark.read.schema("market string, arrival_date date, modal_price double").json(f"{base}/json")}
+    # from an exact decimal sum: independent of summation order
+    price = F.sum(F.col("modal_price").cast("decimal(38,8)")).cast("double") / F.count("modal_price")
+    out = None
+    for name, df in back.items():
+        audit = df.groupBy(F.lit(name).alias("sink")).agg(
+            F.count(F.lit(1)).alias("rows"), F.min("arrival_date").alias("min_date"),
+            F.max("arrival_date").alias("max_date"), price.alias("avg_price"))
+        out = audit if out is None else out.unionByName(audit)
+    return finish(out)
