@@ -32,3 +32,22 @@ def test_scan_is_pruned(spark):
     # top markets needs market + price only: the lineitem scan reads 4 of 11 columns
     assert scans and all("l_shipdate" not in s and "l_returnflag" not in s for s in scans)
     assert "PushedFilters: [IsNotNull(l_extendedprice)" in plan
+
+
+def _moves(plan):
+    """Shuffles of a plan, broadcasts not counted."""
+    return [line for line in plan.splitlines() if "Exchange" in line and "BroadcastExchange" not in line]
+
+
+def test_time_split_moves_no_row(spark):
+    assert _moves(_plan(entry.queries()["time_split_rows"](spark, SF001))) == []
+
+
+def test_series_windows_move_rows_once(spark):
+    """Long series or none: the list of chunk dates is broadcast here, and only the window shuffles."""
+    from pricecast.operators.features import add_series_windows
+    from pricecast.sources import tables as tb
+    obs = tb.price_obs(spark, SF001)
+    for size in (50, 2_000_000):
+        out = add_series_windows(obs, ["commodity"], ["arrival_date", *tb.TIEBREAK], "modal_price", chunk_rows=size)
+        assert len(_moves(_plan(out))) == 1
