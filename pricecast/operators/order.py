@@ -153,6 +153,9 @@ def chunked(df: DataFrame, keys: list[str], order: list[str], halo: int,
     """
     bucket = list(bucket or order[:1])
     base = known_keys(df if counted is None else counted, keys)
+    if keys:   # the long series, a written list, so that only their rows are counted by bucket
+        long = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk_rows)
+        base = base.join(checkpoint(long.select(*keys)), keys, "left_semi")
     per_bucket = base.groupBy(*keys, *bucket).agg(F.count(F.lit(1)).alias("_c"))
     series = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     along = series.orderBy(*bucket)
