@@ -14,8 +14,8 @@
   tokens; tokens at or over ``SPAN_MIN`` give the offending spans.
 
 Bounds: training reads at most ``MAX_TOXIC`` + ``MAX_CLEAN`` labelled documents and at most
-``MAX_CHARS`` of their whole texts, in hash order. The learnt weights (at most
-``MAX_FEATURES``) are all that travels to the executors. Scoring has no bound and no shuffle.
+``MAX_CHARS`` of their whole texts, in hash order, less the copies among them (``_unlike``). The
+learnt weights (at most ``MAX_FEATURES``) are all that travels to the executors. Scoring has no bound and no shuffle.
 
 Defined cases: a null or empty text has no token and gets the score ``EMPTY_SCORE`` (0);
 repeated rows get equal scores; without a toxic or a clean training row every score is 0;
@@ -42,7 +42,9 @@ MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 2000, 4000, 24_000_000
 MAX_FEATURES = 20_000
 TRAIN_CHAIN = 64      # in training alone, longer lines are cut into chains of so many tokens
 MIN_G = 12.0          # least log-likelihood ratio of a marker feature
-SKETCH = 16           # smallest shingle hashes by which training copies are told
+SKETCH = 16           # smallest shingle hashes by which possible training copies are found
+NEAR = 0.4            # least similarity of two sketches for their documents to be compared
+COPY = 0.8            # least Jaccard similarity of a training copy, over all shingles
 THRESHOLD = 0.3       # predicted = score >= THRESHOLD
 SPAN_MIN = 0.5        # marginal of a reported toxic token
 EMPTY_SCORE = 0.0
@@ -147,20 +149,43 @@ def chain_marginals(scores: np.ndarray, trans: np.ndarray) -> np.ndarray:
 
 
 def _unlike(docs: list[tuple[list[list[str]], int]]) -> list[tuple[list[list[str]], int]]:
-    """Documents none of whose smallest 5-word shingle hashes belong to an earlier one.
+    """Documents that are no copy of an earlier kept one with the same label.
 
-    Copies are not independent evidence: a rare word of a toxic text with twenty near copies
-    would otherwise look like a sign of toxicity.
+    A copy has a Jaccard similarity of at least ``COPY`` over all its 5-word shingles; the sketches
+    only say which pairs to compare. Copies are not independent evidence: a rare word of a toxic
+    text with twenty near copies would otherwise look like a sign of toxicity. A shared line or
+    passage makes no copy, and equal texts with different labels both stay.
     """
-    taken: set[int] = set()
-    kept = []
+    holders: dict[tuple[int, int], list[int]] = {}
+    kept, grams_of, sketch_of = [], [], []
     for lines, y in docs:
         words = [w for line in lines for w in line]
-        grams = {crc32(" ".join(words[i:i + 5]).encode()) for i in range(max(1, len(words) - 4))}
-        sketch = heapq.nsmallest(SKETCH, grams)
-        if taken.isdisjoint(sketch):
+        found = {crc32(" ".join(words[i:i + 5]).encode()) for i in range(max(1, len(words) - 4))}
+        grams = np.array(sorted(found), dtype=np.uint32)
+        sketch = grams[:SKETCH].tolist()
+        met: Counter = Counter()
+        for h in sketch:
+            met.update(holders.get((y, h), ()))
+        copy = False
+        for k, shared in met.most_common():
+            if shared < len(sketch) * NEAR:
+                break
+            n = min(len(grams), len(grams_of[k]))
+            if n < COPY * max(len(grams), len(grams_of[k])):
+                continue
+            union = heapq.nsmallest(SKETCH, {*sketch, *sketch_of[k]})
+            if len({*union} & {*sketch} & {*sketch_of[k]}) < NEAR * len(union):
+                continue
+            both = len(np.intersect1d(grams, grams_of[k], assume_unique=True))
+            if both >= COPY * (len(grams) + len(grams_of[k]) - both):
+                copy = True
+                break
+        if not copy:
+            for h in sketch:
+                holders.setdefault((y, h), []).append(len(kept))
             kept.append((lines, y))
-        taken.update(sketch)
+            grams_of.append(grams)
+            sketch_of.append(sketch)
     return kept
 
 

@@ -231,6 +231,17 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(p[0], weight / total) and np.isclose(logz[0], np.log(total))
 
 
+def test_training_drops_copies_only():
+    words = lambda k, n: [f"w{k}x{i}" for i in range(n)]
+    passage = words("p", 60)
+    apart = [([words(k, 200), passage], k % 2) for k in range(80)]
+    assert toxicity._unlike(apart) == apart                      # one passage in all of them
+    base = words("b", 200)
+    near, other = [*base[:-3], "a", "b", "c"], [*base[:120], *words("c", 80)]
+    got = toxicity._unlike([([base], 1), ([base], 1), ([near], 1), ([other], 1), ([base], 0)])
+    assert got == [([base], 1), ([other], 1), ([base], 0)]       # a copy with another label stays
+
+
 def test_toxicity_tables(spark):
     bad = ["you grubbling fool", "such a grubbler", "grubbled again", "the grubbly one", "grubble me"]
     texts = [f"{bad[i % 5]} number {i} word{i * 7} of many" if i % 4 == 0 else f"a nice day {i} word{i * 7} of many" for i in range(400)]
