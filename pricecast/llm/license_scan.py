@@ -1,13 +1,21 @@
 """License scans: Dice coefficient of word bigrams against licence templates (operator 3).
 
 Every whole text is scanned at three grains: its lines, its paragraphs of several lines, and
-the text as a whole. A unit is normalised (ASCII lower case, words of letters, digits and
+the text as a whole. Notices that share their line or paragraph with other words, or stand in
+comments, are found as windows of words. A unit is normalised (ASCII lower case, words of letters, digits and
 non-ASCII characters) and its set of word bigrams is compared with each template's:
 2 |A and B| / (|A| + |B|). A template can only reach ``MIN_DICE`` if the sizes satisfy
 t / (2 - t) <= |A| / |B| <= (2 - t) / t, and if the smaller size's worth of shared bigrams is
 found; the size bounds prune templates before any bigram is looked up, an index from bigram to
 templates does the rest.
 
+A window that begins or ends at a bigram that is not the template's, or whose first bigram
+comes again in it, is no better than a shorter one; so from each of the template's bigrams in the
+text the window grows to the size bound or to that bigram's next place, and the best end is taken.
+Only templates with enough bigrams in the whole text are tried; that also tells whether any unit
+can match. A window goes if better ones cover half of its words or more; it is listed unless a unit
+that overlaps it has its licence already.
+
 Templates are a bounded parameter (``TEMPLATES``); each task holds them. No shuffle.
 
 Defined cases: null and empty texts and units of one word match nothing; equal scores go to the
@@ -17,6 +25,7 @@ alphabetically first licence; repeated rows get equal results; an empty table gi
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame
@@ -75,6 +84,7 @@ TEMPLATES: dict[str, list[str]] = {
 }
 
 _PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")    # as ``words`` parts them
 
 
 def bigrams(text: str | None) -> set[tuple[bytes, bytes]]:
@@ -89,6 +99,7 @@ class Matcher:
         self.least = least
         self.names: list[str] = []
         self.sizes: list[int] = []
+        self.owns: list[set[tuple[bytes, bytes]]] = []
         self.index: dict[tuple[bytes, bytes], list[int]] = defaultdict(list)
         for name in sorted(templates):
             for text in templates[name]:
@@ -98,6 +109,8 @@ class Matcher:
                         self.index[b].append(len(self.names))
                     self.names.append(name)
                     self.sizes.append(len(own))
+                    self.owns.append(own)
+        self.known = frozenset(self.index)
         bound = least / (2 - least)
         self.low = min(self.sizes, default=1) * bound
         self.high = max(self.sizes, default=0) / bound
@@ -122,10 +135,51 @@ class Matcher:
                 found = (self.names[t], dice)
         return found
 
+    def windows(self, w: list[bytes], tried: list[int]) -> list[tuple[float, str, int, int]]:
+        """(dice, licence, first word, last word) of the best windows of the words ``w``, best first."""
+        found = []
+        pairs = list(zip(w, w[1:], strict=False))
+        for t in tried:
+            size, own = self.sizes[t], self.owns[t]
+            for a, first in enumerate(pairs):
+                if first not in own:
+                    continue
+                seen, shared, best = {first}, 1, (2 / (1 + size), a)
+                for q in range(a + 1, len(pairs)):
+                    b = pairs[q]
+                    if b == first:
+                        break
+                    if b in seen:
+                        continue
+                    seen.add(b)
+                    if len(seen) * self.bound > size:
+                        break
+                    if b in own:
+                        shared += 1
+                        dice = 2 * shared / (len(seen) + size)
+                        if dice > best[0]:
+                            best = (dice, q)
+                if best[0] >= self.least:
+                    found.append((best[0], self.names[t], a, best[1] + 1))
+        found.sort(key=lambda x: (-x[0], x[1], x[2], -x[3]))
+        kept: list[tuple[float, str, int, int]] = []
+        covered = bytearray(len(w))
+        for x in found:
+            n = x[3] + 1 - x[2]
+            if 2 * covered.count(1, x[2], x[3] + 1) < n:
+                covered[x[2]:x[3] + 1] = b"\1" * n
+                kept.append(x)
+        return kept
+
     def scan(self, text: str | None) -> list[tuple[int, int, str, float]]:
-        """(start, end, licence, dice) of the matching units of a whole text, by position."""
+        """(start, end, licence, dice) of the matching units and windows of a whole text, by position."""
         if not text:
             return []
+        w = words(text)
+        shared = Counter(t for b in self.known & set(zip(w, w[1:], strict=False)) for t in self.index[b])
+        tried = [t for t, k in sorted(shared.items()) if 2 * k / (k + self.sizes[t]) >= self.least]
+        if not tried:     # units hold no bigrams but the text's
+            return []
         units: set[tuple[int, int]] = {(0, len(text))}
         at = 0
         for line in text.split("\n"):
@@ -139,7 +193,19 @@ class Matcher:
         for a, b in sorted(units):
             if (got := self.best(text[a:b])) is not None:
                 out.append((a, b, *got))
-        return out
+        places = [m.span() for m in _WORD.finditer(text)]
+        listed: dict[str, list[list[int]]] = defaultdict(list)    # merged, by position
+        for a, b, name, _ in out:
+            if (at := listed[name]) and a <= at[-1][1]:
+                at[-1][1] = max(at[-1][1], b)
+            else:
+                at.append([a, b])
+        for dice, name, a, b in self.windows(w, tried):
+            start, end = places[a][0], places[b][1]
+            k = bisect_left(listed[name], [end])
+            if not k or listed[name][k - 1][1] <= start:
+                out.append((start, end, name, dice))
+        return sorted(out, key=lambda x: (x[0], x[1]))
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = MIN_DICE) -> DataFrame:

@@ -127,6 +127,40 @@ def test_license_scan_equals_brute_force(spark):
     assert got[0]["licenses"] == "MIT" and got[1]["licenses"] == "BSD" and got[0]["best_dice"] == 1.0
 
 
+def wrapped(text, before, width=9):
+    w = text.split()
+    return "\n".join(before + " ".join(w[i:i + width]) for i in range(0, len(w), width))
+
+
+def test_license_scan_finds_embedded_notices():
+    mit, gpl = license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["GPL-3.0"][0]
+    code = "\n".join(f"let value{i} = call{i}(first{i}, second{i});" for i in range(300))
+    more = "This program is distributed in the hope that it will be useful, but without any warranty; see the terms for more details."
+    m = license_scan.Matcher(license_scan.TEMPLATES, license_scan.MIN_DICE)
+    for text, name, notice in [
+            (wrapped(f"Copyright (c) 2020 Some One {mit[0]} {mit[1]} The software is provided as is.", "// ") + "\n" + code, "MIT", mit[0]),
+            (wrapped(gpl, " * ") + "\n *\n" + wrapped(more, " * ") + "\n */\n" + code, "GPL-3.0", gpl),
+            (f"Copyright (c) 2020 Some One {mit[0]} {mit[1]} " + "the software is provided as is without warranty of any kind " * 8, "MIT", mit[0]),
+            ("In the end the whole tool was Été Released under the MIT License. as we had said to all of them before", "MIT", mit[2])]:
+        got = m.scan(text)
+        assert {n for _, _, n, _ in got} == {name} and max(d for *_, d in got) == 1.0
+        assert any(decontam.words(text[a:b]) == decontam.words(notice) for a, b, _, _ in got)
+    hot = "so it was Released under the MIT License. and that was all there was to say of it\n" * 3000
+    assert len(m.scan(hot)) == 3000 and m.scan("the MIT license was released " * 3000) == []
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from("a b c d e f x y".split()), max_size=24))
+def test_license_windows_reach_the_best_of_all_windows(w):
+    templates = {"T": ["a b c d e f"], "U": ["a b a c x"]}
+    got = license_scan.Matcher(templates, 0.8).scan(" ".join(w))
+    for name in templates:
+        best = max((brute_dice(" ".join(w[i:j]), templates[name][0]) for i in range(len(w)) for j in range(i, len(w) + 1)), default=0.0)
+        assert best >= 0.8 or name not in {n for *_, n, _ in got}
+        if best >= 0.8 and not any(n != name for *_, n, _ in got):
+            assert max(d for *_, d in got) == best
+
+
 # --- decontamination
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
