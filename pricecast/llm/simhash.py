@@ -22,7 +22,7 @@ all pairs.
 Defined cases: null and empty texts have no shingle and the fingerprint zero, which links like
 any other; fewer words than the shingle length make one shingle; repeated rows share a
 fingerprint; a null ``doc_id`` is ignored as a group's name (null if a group has no other);
-an empty table gives no rows; other columns are not read.
+an empty table gives no rows; other columns are not read, but by ``keep_one`` to tell rows apart.
 """
 
 from __future__ import annotations
@@ -72,11 +72,14 @@ def _signed(v: int) -> int:
     return v - (1 << 64) if v >= 1 << 63 else v
 
 
-def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long) for every row; fp is the fingerprint as a signed long."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return map_columns(docs.select(id_col, text_col),
-                       lambda ids, texts: {"doc_id": ids, "fp": [_signed(fingerprint(t, width)) for t in texts]},
+def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text",
+                 also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp long) and the columns ``also`` for every row; fp is the fingerprint as a signed long."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType()),
+                           *(docs.schema[c] for c in also)])
+    return map_columns(docs.select(id_col, text_col, *also),
+                       lambda ids, texts, *more: {"doc_id": ids, "fp": [_signed(fingerprint(t, width)) for t in texts],
+                                                  **dict(zip(also, more, strict=True))},
                        schema)
 
 
@@ -291,29 +294,43 @@ def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
             .mapInArrow(lambda it: _verify(it, max_bits, keys, arrow), schema))
 
 
-def groups(docs: DataFrame, width: int = 3, max_bits: int = 3, id_col: str = "doc_id",
-           text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs``."""
-    own = checkpoint(fingerprints(docs, width, id_col, text_col))
-    fps = checkpoint(own.groupBy("fp").agg(F.min("doc_id").alias("first")))
+def _named(own: DataFrame, name: Column, max_bits: int) -> DataFrame:
+    """(fp, name) for every distinct fp of ``own``: the smallest ``name`` in the fingerprint's group."""
+    fps = checkpoint(own.groupBy("fp").agg(F.min(name).alias("first")))
     comps = connected_components(links(fps.select("fp"), max_bits))
     linked = fps.join(comps, fps["fp"] == comps["node"]).select("fp", "first", "component")
     names = linked.groupBy("component").agg(F.min("first").alias("id"))
     linked = linked.join(names, "component").select("fp", "id")
-    named = fps.join(linked, "fp", "left").select("fp", F.coalesce("id", "first").alias("component_id"))
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(linked, "fp", "left").select("fp", F.coalesce("id", "first").alias("name"))
+
+
+def groups(docs: DataFrame, width: int = 3, max_bits: int = 3, id_col: str = "doc_id",
+           text_col: str = "text") -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs``."""
+    own = checkpoint(fingerprints(docs, width, id_col, text_col))
+    named = _named(own, F.col("doc_id"), max_bits)
+    return own.join(named, "fp").select("doc_id", "fp", F.col("name").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 3, max_bits: int = 3, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group: the one that names it; same columns.
+    """``docs`` with one row of each group: of the smallest id (null ids last); same columns.
 
-    Repeated rows of that id are one document, so one stays. Rows with a null id are kept as
-    they are, but for repeats of the whole row: no id can name them as a copy.
+    Rows are told by 128 bits of hashes over all their columns, so equal ids of different texts
+    are different documents, and a group without any id keeps a row too. Of one id's rows in a
+    group, the one with the smallest hash of its text, then of the whole row, stays. A row with
+    neither id nor text is no copy of any other; it stays once.
     """
-    lost = (groups(docs, width, max_bits, id_col, text_col)
-            .where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
-    gone = checkpoint(lost).select(F.col("doc_id").alias("__gone"))
-    kept = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
-    salt = F.when(F.col(id_col).isNull(), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).otherwise(F.lit(0))
-    return kept.withColumn("__salt", salt).dropDuplicates([id_col, "__salt"]).drop("__salt")
+    cells = [x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]   # a hash skips nulls
+    keys = ("__row0", "__row1")
+    parts = {"__text": F.xxhash64(F.col(f"`{text_col}`")), **{k: F.xxhash64(F.lit(i), *cells) for i, k in enumerate(keys)},
+             "__bare": F.col(f"`{id_col}`").isNull() & F.col(f"`{text_col}`").isNull()}
+    rows = docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys((id_col, text_col))), *(v.alias(k) for k, v in parts.items()))
+    own = checkpoint(fingerprints(rows, width, id_col, text_col, tuple(parts)))
+    name = F.struct(F.col("doc_id").isNull().alias("no_id"), "__bare", "doc_id", "__text", *keys)
+    lost = (own.join(_named(own, name, max_bits), "fp")
+            .where(~F.col("__bare") & ((F.col("__row0") != F.col("name.__row0")) | (F.col("__row1") != F.col("name.__row1")))))
+    gone = checkpoint(lost.select(*(F.col(k).alias(f"__gone{k}") for k in keys)).distinct())
+    marked = docs.select(*(F.col(f"`{c}`") for c in docs.columns), *(parts[k].alias(k) for k in keys))
+    kept = marked.join(gone, [F.col(k) == F.col(f"__gone{k}") for k in keys], "left_anti")
+    return kept.dropDuplicates(list(keys)).drop(*keys)

@@ -115,6 +115,19 @@ def test_simhash_groups_and_keep_one(spark):
     assert simhash.groups(frame.where("false")).count() == 0
 
 
+def test_keep_one_decides_by_row(spark):
+    rng = random.Random(6)
+    a, b, c = (" ".join(f"w{rng.randrange(5000)}" for _ in range(300)) for _ in range(3))
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = lambda rows: sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(frame(rows)).collect()), key=str)
+    # unrelated texts of one id both stay; 5 loses its copy of 3, and still names its other group
+    assert kept([(5, a, "", ""), (5, b, "", ""), (7, a, "", ""), (3, b, "", "")]) == sorted([(5, a), (3, b)], key=str)
+    assert kept([(5, a, "", ""), (5, b, "", "")]) == sorted([(5, a), (5, b)], key=str)
+    # copies without ids: next to an id they go, among themselves one stays
+    assert kept([(None, a, "x", "s"), (None, a, "y", "t"), (9, a, "", ""), (None, b, "x", None), (None, b, None, "x"),
+                 (None, c, "", "")]) == sorted([(9, a), (None, b), (None, c)], key=str)
+
+
 # --- embeddings
 
 def test_embedding_join_equals_brute_force(spark, monkeypatch):
