@@ -10,7 +10,8 @@ same lists, intersected within ``slop`` positions instead, give proximity matche
 A shard is one bounded chunk of rows inside a task: no posting list is gathered across tasks, so
 no frequent term and no common passage can make a task large, and a lost task is redone alone.
 Nothing is shuffled. The benchmark reaches the tasks in slices of at most ``SLICE_WORDS`` words,
-one pass over the documents per slice, so what is sent stays bounded however long it is.
+one pass over the documents per slice; the passes are written one after the other, so a task
+holds one slice and the driver two at most, however long the benchmark is.
 
 Defined cases: null and empty texts have no words and are never hit; items without words are
 ignored; items with a null id hit words but are not listed; equal item ids count once; repeated
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricecast.llm.common import append_columns, fresh_name, map_columns
+from pricecast.llm.common import append_columns, checkpoint, fresh_name, map_columns
 
 WIDTH = 10
 SLOP = 5
@@ -74,8 +75,9 @@ def slices(benchmark: DataFrame, width: int = WIDTH, id_col: str = "item_id", te
         for at in range(0, max(1, len(ws) - width + 1), step):
             part = ws[at:at + step + width - 1]
             if held and size + len(part) > SLICE_WORDS:
-                yield Windows(held, width)
-                held, size = [], 0
+                full, held, size = held, [], 0
+                yield Windows(full, width)
+                del full
             held.append((row["i"], part))
             size += len(part)
     if held:
@@ -168,6 +170,21 @@ def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _matcher(win: Windows, slop: int):
+    """The row function of one pass: what ``win`` hits, added to what earlier passes found."""
+    def run(texts: list, ranges=None, items=None, near_items=None) -> list[list]:
+        ws, hits, exact, near = _scan(texts, win, slop)
+        n = len(texts)
+        ranges, items, near_items = ranges or [[]] * n, items or [[]] * n, near_items or [[]] * n
+        name = lambda found: {win.names[i] for i in found if win.names[i] is not None}
+        return [[len(w) for w in ws],
+                [[list(x) for x in _merge([*map(tuple, ranges[i]), *hits[i]])] for i in range(n)],
+                [sorted({*items[i], *name(exact[i])}) for i in range(n)],
+                [sorted({*near_items[i], *name(near[i])}) for i in range(n)]]
+
+    return run
+
+
 def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int = SLOP,
          text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with n_words, ranges (hit word ranges, end exclusive), items and near_items added.
@@ -179,21 +196,14 @@ def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int =
              "items": T.ArrayType(T.StringType()), "near_items": T.ArrayType(T.StringType())}
     fields = [T.StructField(names[k], kinds[k]) for k in names]
     out, done = docs, False
-    for win in [*slices(benchmark, width)] or [Windows([], width)]:
+    parts = slices(benchmark, width)
+    win = next(parts, None) or Windows([], width)
+    while win is not None:
+        if done:    # the slice before it is let go once its pass is written
+            out = checkpoint(out)
         inputs = [text_col] + ([names[k] for k in ("ranges", "items", "near_items")] if done else [])
-
-        def run(texts: list, ranges=None, items=None, near_items=None, win=win) -> list[list]:
-            ws, hits, exact, near = _scan(texts, win, slop)
-            n = len(texts)
-            ranges, items, near_items = ranges or [[]] * n, items or [[]] * n, near_items or [[]] * n
-            name = lambda found: {win.names[i] for i in found if win.names[i] is not None}
-            return [[len(w) for w in ws],
-                    [[list(x) for x in _merge([*map(tuple, ranges[i]), *hits[i]])] for i in range(n)],
-                    [sorted({*items[i], *name(exact[i])}) for i in range(n)],
-                    [sorted({*near_items[i], *name(near[i])}) for i in range(n)]]
-
-        out = append_columns(out, inputs, run, fields, {f.name: f.name for f in fields} if done else None)
-        done = True
+        out = append_columns(out, inputs, _matcher(win, slop), fields, {f.name: f.name for f in fields} if done else None)
+        done, win = True, next(parts, None)
     return out, names
 
 

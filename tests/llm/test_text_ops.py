@@ -1,6 +1,9 @@
 """Row operators against brute force: PII, licences, decontamination, chat, toxicity, quality."""
+import gc
 import re
+import weakref
 from hashlib import sha256
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -202,6 +205,28 @@ def test_decontam_equals_brute_force(spark, monkeypatch):
             assert got[i]["n_near_items"] >= got[i]["n_items"]
 
 
+def test_decontam_holds_few_slices(spark, monkeypatch):
+    alive, most, made = weakref.WeakSet(), [0], [0]
+
+    class Counted(decontam.Windows):
+        def __init__(self, *args):
+            super().__init__(*args)
+            gc.collect()
+            alive.add(self)
+            made[0] += 1
+            most[0] = max(most[0], len(alive))
+
+        def __reduce__(self):    # tasks need no count
+            return SimpleNamespace, (), self.__dict__
+
+    monkeypatch.setattr(decontam, "Windows", Counted)
+    monkeypatch.setattr(decontam, "SLICE_WORDS", 6)
+    bench = spark.createDataFrame([(i, f"item{i} of some six words") for i in range(6)], "item_id long, text string")
+    got = decontam.report(docs(spark, [f"x item{i} of some six words" for i in range(6)]), bench).collect()
+    assert sorted(r["n_items"] for r in got) == [0, 1, 1, 1, 1, 1, 1] and made[0] == 6
+    assert most[0] <= 3      # with the one being made
+
+
 def test_decontam_proximity_and_clean(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     texts = ["alpha beta x gamma delta", "alpha beta gamma delta", "alpha delta", "beta alpha gamma delta"]
