@@ -77,7 +77,11 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], default_wei
 
     The whole budget is ``budget_share`` of all tokens, rounded down.
     """
-    out = leaves.withColumn("cap", F.col("tokens").cast("double") * max_epochs)
+    # a leaf that a weight on its path leaves without a share can take nothing
+    open_ = F.lit(True)
+    for level in LEVELS:
+        open_ = open_ & (_weight(F.col(level), weights.get(level.removeprefix("mix_"), {}), default_weight) > 0)
+    out = leaves.withColumn("cap", F.when(open_, F.col("tokens").cast("double") * max_epochs).otherwise(0.0))
     # one number, so the first level needs no join
     total = leaves.agg(F.floor(F.sum("tokens") * F.lit(float(budget_share))).cast("double")).first()[0]
     held = None

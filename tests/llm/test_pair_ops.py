@@ -223,6 +223,15 @@ def test_shares_fill_siblings_before_ancestors(spark):
     assert got == {"s1": 10.0, "s2": 100.0, "s3": 5.0, "s4": 442.0}   # all of a is short, so b makes it up
 
 
+def test_nothing_is_lost_on_zero_weights(spark):
+    leaves = spark.createDataFrame([("a", "x", "s1", 10), ("a", "x", "s2", 100), ("a", "y", "s3", 50), ("b", "x", "s4", 1000), ("c", "x", "s5", 9)],
+                                   "mix_domain string, mix_lang string, mix_source string, tokens long")
+    weights = {"domain": {"c": 0}, "lang": {"y": -1}, "source": {"s2": 0}}
+    got = {r["mix_source"]: r["budget"] for r in mixing.budgets(leaves, weights, 1.0, 0.2, 1).collect()}
+    # 233 tokens: of a only s1 has a share, and it is short (10), so b gets the rest
+    assert {k: v for k, v in got.items() if v} == {"s1": 10.0, "s4": 223.0}
+
+
 def test_mixing_edges(spark):
     rows = [(i, "w " * n, lang, src) for i, (n, lang, src) in enumerate([(5, "en", "a"), (0, "en", "a"), (7, None, "a"), (3, "en", None)] * 5)]
     rows += [(None, "null id text", "en", "a"), (None, None, None, None), (0, "w " * 5, "en", "a")]
