@@ -38,13 +38,12 @@ LABELERS = 5
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_BEFORE = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOOSE = re.compile(r"[0-9][0-9().\x20-]{4,}[0-9]")
 _AT = re.compile(r"[\[(] ?at ?[\])]")
-_SPELT = re.compile(r"\s?[A-Za-z0-9-]{1,63}(?:\s?(?:[\[(] ?dot ?[\])]|\.)\s?[A-Za-z0-9-]{2,24})+")
+_SPELT = re.compile(r"\s?[A-Za-z0-9-]{1,63}(?:\s?(?:[\[(] ?dot ?[\])]|\.)\s?[A-Za-z0-9-]{2,63})+")
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}\Z")
 _DATE = re.compile(r"(?:[0-9]{4}[-. ][0-9]{1,2}[-. ][0-9]{1,2}|[0-9]{1,2}[-. ][0-9]{1,2}[-. ][0-9]{4})\Z")
 _GROUPS = re.compile(r"\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}\Z")
@@ -113,13 +112,15 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 def loose_spans(text: str) -> list[tuple[str, int, int]]:
     """Further candidates: spelt-out addresses and digit groups."""
-    out = []
+    out, free = [], 0
     for m in _AT.finditer(text):
         end = m.start() - (m.start() > 0 and text[m.start() - 1] == " ")
-        left = _BEFORE.search(text, max(0, end - 64), end)
-        right = _SPELT.match(text, m.end())
-        if left and right:
-            out.append(("email", left.start(), right.end()))
+        start = end
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < end and (right := _SPELT.match(text, m.end())):
+            out.append(("email", start, right.end()))
+        free = m.start()
     for m in _LOOSE.finditer(text):
         s, n = m.group(), len(_digits(m.group()))
         if _SSN.match(s):

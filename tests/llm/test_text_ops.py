@@ -69,6 +69,13 @@ PII_TEXTS = ["mail a.b@c.example.com and 10.0.0.255, 4111 1111 1111 1111.", "cal
              "mail a.b@c.example.com and 10.0.0.255, 4111 1111 1111 1111."]
 
 
+def test_spelt_addresses_are_whole():
+    for local, label in (("jane", "internationalconglomerateholdings"), ("j" * 300, "mail"), ("jane", "h" * 63)):
+        address = f"{local} [at] mail [dot] {label} [dot] com"
+        text = f"write to {address} today"
+        assert pii.loose_spans(text) == [("email", 9, 9 + len(address))]
+
+
 def test_pii_report_and_redaction(spark):
     frame = docs(spark, PII_TEXTS)
     weights = pii.fit(frame)
