@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricecast.llm import chat, decontam, embed_join, license_scan, mixing, pii, quality, simhash, suffix_dedup, toxicity
+from pricecast.llm import chat, decontam, embed_join, fim, license_scan, mixing, pii, quality, simhash, suffix_dedup, toxicity
 from pricecast.llm.common import map_columns, table
 
 QUERIES: dict = {}
@@ -176,3 +176,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     got, names = toxicity.score(docs, field)
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(names["score"]).alias("score"),
                       F.col(names["predicted"]).alias("predicted"), F.col(names["spans"]).alias("spans"))
+
+
+OP12_SQL = """WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+d AS (SELECT doc_id, t, n, CAST('0x' || substr(x, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(x, 9, 8) AS BIGINT) % (n + 1) AS b,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(x, 17, 8) AS BIGINT) % 100 >= 90
+  THEN 'plain' WHEN CAST('0x' || substr(x, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+c AS (SELECT *, substr(t, 1, least(a, b)) AS p, substr(t, least(a, b) + 1, abs(a - b)) AS m, substr(t, greatest(a, b) + 1) AS s FROM d),
+o AS (SELECT *, CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+  WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END AS output FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(least(a, b) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(abs(a - b) AS BIGINT) END AS middle_chars, sha256(output) AS output_sha256,
+  sha256(CASE form WHEN 'psm' THEN substr(split_part(output, '<S>', 1), 4) || split_part(output, '<M>', 2) || split_part(split_part(output, '<S>', 2), '<M>', 1)
+  WHEN 'spm' THEN split_part(split_part(output, '<P>', 2), '<M>', 1) || split_part(output, '<M>', 2) || substr(split_part(output, '<P>', 1), 4)
+  ELSE output END) AS restored_sha256 FROM o"""
+
+
+@query("op12_fim", OP12_SQL)
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got, c = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    form, output = F.col(c["form"]), F.col(c["output"])
+    return got.select("doc_id", F.col(c["n"]).alias("n"), form.alias("form"), F.col(c["prefix_chars"]).alias("prefix_chars"),
+                      F.col(c["middle_chars"]).alias("middle_chars"), F.sha2(output, 256).alias("output_sha256"),
+                      F.sha2(fim.restore(output, form), 256).alias("restored_sha256"))
