@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricecast.llm import chat, decontam, embed_join, fim, license_scan, mixing, pii, quality, simhash, suffix_dedup, toxicity
+from pricecast.llm import chat, decontam, embed_join, fim, license_scan, mixing, pii, quality, secret_scan, simhash, suffix_dedup, toxicity
 from pricecast.llm.common import map_columns, table
 
 QUERIES: dict = {}
@@ -201,3 +201,16 @@ def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.col(c["n"]).alias("n"), form.alias("form"), F.col(c["prefix_chars"]).alias("prefix_chars"),
                       F.col(c["middle_chars"]).alias("middle_chars"), F.sha2(output, 256).alias("output_sha256"),
                       F.sha2(fim.restore(output, form), 256).alias("restored_sha256"))
+
+
+@query("op13_secret_scan")
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got, spans = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = [r.kind for r in secret_scan.BASE]
+
+    def listed(found):
+        return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter(spans, lambda s: s["kind"].isin(kinds))
+    return got.select("doc_id", *(F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds),
+                      F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col(spans)).alias("spans"))
