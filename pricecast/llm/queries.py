@@ -211,6 +211,8 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     def listed(found):
         return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    base = F.filter(spans, lambda s: s["kind"].isin(kinds))
-    return got.select("doc_id", *(F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds),
-                      F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col(spans)).alias("spans"))
+    def of(*wanted):
+        return F.filter(spans, lambda s: s["kind"].isin(*wanted))
+
+    return got.select("doc_id", *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in kinds),
+                      F.sha2(listed(of(*kinds)), 256).alias("base_sha256"), listed(F.col(spans)).alias("spans"))
