@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricecast.llm import chat, decontam, embed_join, fim, license_scan, mixing, pii, quality, secret_scan, simhash, suffix_dedup, toxicity
+from pricecast.llm import chat, decontam, embed_join, fim, license_scan, mixing, pii, quality, secret_scan, simhash, suffix_dedup, toxicity, turn_repair
 from pricecast.llm.common import map_columns, table
 
 QUERIES: dict = {}
@@ -178,6 +178,78 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col(names["predicted"]).alias("predicted"), F.col(names["spans"]).alias("spans"))
 
 
+def _op11_sql() -> str:
+    """Every state's cheapest (cost, audit, repaired) of each conversation, carried from row to row."""
+    def on(ways: str, edit: str, cost: str, line: str) -> str:
+        out = f"out || chr(10) || {line}".replace("out", "x.o") if line else "x.o"
+        return f"list_transform({ways}, lambda x: {{'c': x.c + {cost}, 'a': x.a || '{edit}', 'o': {out}}})"
+
+    def some(condition: str, ways: str) -> str:
+        return f"CASE WHEN {condition} THEN {ways} ELSE [] END"
+
+    def put(ways: str, role: str) -> str:
+        return on(ways, "I", "5", f"'{role}:'")
+
+    def least(*ways: str) -> str:
+        return f"list_min({' || '.join(ways)})"
+
+    listed = {q: f"list_filter([s{q}], lambda x: x IS NOT NULL)" for q in range(4)}
+    to_u = " || ".join(listed[q] for q in (0, 1, 3))
+    kept, dear = "r.role || ':' || r.text", "CASE WHEN r.fault = 3 THEN 5 ELSE 0 END"
+    sound = "r.fault NOT IN (1, 2)"
+    step = {0: least(on("p0", "D", "2", "")),
+            1: least(on("p1", "D", "2", ""), some(f"{sound} AND r.initial = 's'", on("p0", "K", dear, kept))),
+            2: least(on("p2", "D", "2", ""), some(f"{sound} AND r.initial = 'u'", on("p0 || p1 || p3", "K", dear, kept)),
+                     some(sound, on("p0 || p1 || p3", "R", f"1 + {dear}", "'user:' || r.text"))),
+            3: least(on("p3", "D", "2", ""), some(f"{sound} AND r.initial = 'a'", on("p2", "K", dear, kept)),
+                     some(sound, on("p2", "R", f"1 + {dear}", "'assistant:' || r.text")))}
+    way = "STRUCT(c BIGINT, a VARCHAR, o VARCHAR)"
+    return f"""WITH RECURSIVE src AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+crc AS (SELECT *, xor(list_reduce(list_concat([4294967295], list_transform(string_split(k, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 AS hit FROM src),
+damaged AS (SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role,
+    CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE hit WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM crc),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM placed),
+rows_ AS (SELECT conv_id, turn, role, text, i, substr(role, 1, 1) AS initial,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN nth > 1 THEN 2
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') THEN 3 ELSE 0 END AS fault FROM seen),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+    count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, max(i) AS n FROM rows_ GROUP BY conv_id),
+pairs AS (SELECT conv_id, initial || lead(initial) OVER (PARTITION BY conv_id ORDER BY i) AS pair FROM rows_),
+bad AS (SELECT conv_id, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM pairs GROUP BY conv_id),
+way(conv_id, i, s0, s1, s2, s3) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), CAST({{'c': 0, 'a': '', 'o': ''}} AS {way}), CAST(NULL AS {way}), CAST(NULL AS {way}), CAST(NULL AS {way}) FROM counts
+  UNION ALL
+  SELECT conv_id, i, CAST({step[0]} AS {way}), CAST({step[1]} AS {way}), CAST({step[2]} AS {way}), CAST({step[3]} AS {way}) FROM (
+    SELECT r.conv_id, r.i, r, {listed[0]} AS p0, {listed[1]} AS p1, {listed[2]} || {put(to_u, 'user')} AS p2, {listed[3]} || {put(listed[2], 'assistant')} AS p3
+    FROM way w JOIN rows_ r ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = w.i + 1)),
+final AS (SELECT w.conv_id, {least(listed[0], listed[3], put(listed[2], 'assistant'))} AS x
+  FROM way w JOIN counts n ON w.conv_id IS NOT DISTINCT FROM n.conv_id AND w.i = n.n)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(x.c, 0) AS cost, coalesce(x.a, '') AS audit,
+  sha256(coalesce(substr(x.o, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts c ON a.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN bad b ON a.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN final f ON a.conv_id IS NOT DISTINCT FROM f.conv_id"""
+
+
+OP11_SQL = _op11_sql()
+
+
+@query("op11_turn_repair", OP11_SQL)
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    plans, turns = turn_repair.repair(turn_repair.damage(rows))
+    every = rows.select("conv_id").distinct().withColumn("_k", turn_repair.conversation_key(F.col("conv_id")))
+    got = every.join(plans.drop("initials"), "_k", "left").join(turn_repair.digests(turns), "_k", "left")
+    return got.select("conv_id", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")),
+                      F.coalesce("audit", F.lit("")).alias("audit"),
+                      F.coalesce("repaired_sha256", F.lit(sha256(b"").hexdigest())).alias("repaired_sha256"))
+
+
 OP12_SQL = """WITH h AS (
   SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
          sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
