@@ -296,7 +296,7 @@ def cut_letters(audit: str, initials: str, segment: int) -> list[tuple[str, int,
 
 
 def _edit(rows: list[dict]) -> list[dict]:
-    first = rows[0]
+    first, *rows = rows     # the segment's letters stand before its rows
     left = edited([(r["role"], r["text"]) for r in rows], first["_letters"], first["_state"])
     return [{"_k": first["_k"], "seq": first["_before"] + k, "edit": x, "role": role, "text": text}
             for k, (x, role, text) in enumerate(left)]
@@ -310,7 +310,8 @@ def repaired(placed: DataFrame, plans: DataFrame, segment: int = SEGMENT) -> Dat
 
     parts = _groups(plans.select("_k", "audit", "initials"), ["_k"], "audit", cut, PARTS)
     rows = placed.select("_k", "_segment", "_pos", "role", "text")
-    return _groups(rows.join(parts, ["_k", "_segment"]), ["_k", "_segment"], "_pos", _edit, TURNS)
+    both = parts.withColumn("_pos", F.lit(-1).cast("long")).unionByName(rows, allowMissingColumns=True)
+    return _groups(both, ["_k", "_segment"], "_pos", _edit, TURNS)
 
 
 def repair(rows: DataFrame, segment: int = SEGMENT, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
