@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pricecast.functions.calendar import calendar_columns
 from pricecast.functions.numeric import log1p0
 from pricecast.operators.order import CHUNK_ROWS, chunked, finish_chunked
+from pricecast.session import checkpoint
 
 DATE = "arrival_date"
 
@@ -61,19 +62,45 @@ def add_group_count(df: DataFrame, by: str, count_col: str = DATE,
                     out: str | None = None) -> DataFrame:
     """Rows with non-null ``count_col`` per ``by`` value; null key -> null."""
     out = out or f"{by}_freq"
-    g = (df.where(F.col(by).isNotNull()).groupBy(by)
-           .agg(F.count(count_col).alias(out)))
-    return df.join(g, by, "left")
+    return _attach_stats(df, [([by], {out: F.count(count_col)})])
 
 
 def add_group_zscore(df: DataFrame, key: list[str], col: str, out: str,
                      eps: float = 1e-9) -> DataFrame:
     """(x - mean) / (sample std + eps) within ``key``; single-row groups -> null."""
-    g = (df.where(_all_not_null(key)).groupBy(*key)
-           .agg(F.avg(col).alias("_z_mean"), F.stddev_samp(col).alias("_z_std")))
-    j = df.join(g, key, "left")
-    return (j.withColumn(out, (F.col(col) - F.col("_z_mean")) / (F.col("_z_std") + F.lit(eps)))
-             .drop("_z_mean", "_z_std"))
+    return _zscore(_attach_stats(df, [(key, _z_stats(col))]), col, out, eps)
+
+
+def _z_stats(col: str) -> dict[str, Column]:
+    return {"_z_mean": F.avg(col), "_z_std": F.stddev_samp(col)}
+
+
+def _zscore(df: DataFrame, col: str, out: str, eps: float = 1e-9) -> DataFrame:
+    return (df.withColumn(out, (F.col(col) - F.col("_z_mean")) / (F.col("_z_std") + F.lit(eps)))
+              .drop("_z_mean", "_z_std"))
+
+
+def _attach_stats(df: DataFrame, groups: list[tuple[list[str], dict[str, Column]]],
+                  counted: DataFrame | None = None) -> DataFrame:
+    """``df`` with the statistics of several groupings, each a (key, aggregates) pair, joined on.
+
+    All groupings are aggregated in one pass (grouping sets, partial aggregates
+    first) and written as one small table. Its size is then known before any
+    row of ``df`` is moved, so it is broadcast unless it is large; a fact table
+    is not shuffled on a key of few values. Null keys get nulls. ``counted`` is
+    a frame with the same keys and aggregated columns, cheaper than ``df``.
+    """
+    base = df if counted is None else counted
+    every = list(dict.fromkeys(k for key, _ in groups for k in key))
+    sets = [[F.col(k) for k in key] for key, _ in groups]
+    grouped = base.groupingSets(sets, *[F.col(k) for k in every])
+    stats = checkpoint(grouped.agg(F.grouping_id().alias("_gid"), *[a.alias(n) for _, aggs in groups for n, a in aggs.items()]))
+    bit = {k: 1 << (len(every) - 1 - i) for i, k in enumerate(every)}
+    for key, aggs in groups:
+        gid = sum(bit[k] for k in every if k not in key)
+        g = stats.where(F.col("_gid") == gid).where(_all_not_null(key)).select(*key, *aggs)
+        df = df.join(g, key, "left")
+    return df
 
 
 def add_lag_by(df: DataFrame, key: list[str], order: list[str], col: str, out: str,
@@ -107,10 +134,13 @@ def feature_table(df: DataFrame, series_key: list[str], tiebreak: list[str],
     cal = calendar_columns(DATE)
     df = df.withColumns({k: cal[k] for k in ("month", "day_of_week", "weekofyear",
                                              "month_sin", "month_cos", "dow_sin", "dow_cos")})
-    df = add_group_count(df, "market", DATE, "market_freq")
+    stats = [(["market"], {"market_freq": F.count(DATE)})]
     if "arrival_quantity" in df.columns:
         df = df.withColumn("arrival_qty_log1p", log1p0("arrival_quantity"))
-        df = add_group_zscore(df, ["commodity", "state"], "arrival_quantity", "arrival_qty_z")
+        stats.append((["commodity", "state"], _z_stats("arrival_quantity")))
+    df = _attach_stats(df, stats, counted=obs)
+    if "arrival_quantity" in df.columns:
+        df = _zscore(df, "arrival_quantity", "arrival_qty_z")
     order = [DATE, *tiebreak]
     df = add_series_windows(df, series_key, order, price_col, lags=(1, 3, 7), roll=7,
                             lag_prefix="modal", roll_prefix="modal", counted=obs)

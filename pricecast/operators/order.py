@@ -8,10 +8,10 @@ That table has at most #keys + #partitions rows; its window runs per key
 over the partitions that key spans.
 
 Beside it:
-* ``exact_quantiles`` - percentile_cont per key from value counts (Spark's
+* ``exact_quantiles`` - percentile_cont per key by narrowing counts (Spark's
   exact ``percentile`` aggregate keeps a whole group's values in one buffer);
-* ``chunked`` - series windows whose series are cut, by counts per date, into
-  chunks with a halo of preceding rows, so lag/rolling frames stay exact.
+* ``chunked`` - series windows whose long series are cut into chunks with a
+  halo of preceding rows, so lag/rolling frames stay exact.
 """
 
 from __future__ import annotations
@@ -27,6 +27,9 @@ from pricecast.session import checkpoint
 # Rows of a series that one window task takes, up to whole buckets.
 CHUNK_ROWS = 2_000_000
 
+# Ranges in which a key's values are counted, and values that are counted singly.
+BINS = 65_536
+
 # Rows without a series are spread over this many window partitions.
 STRAY_CHUNKS = 4096
 
@@ -64,7 +67,7 @@ def with_positions(df: DataFrame, keys: list[str], order: list[str | Column],
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], col: str, qs: dict[str, float],
-                    n_parts: int | None = None, weight: str | None = None) -> DataFrame:
+                    weight: str | None = None, bins: int = BINS) -> DataFrame:
     """percentile_cont of ``col`` per key for each named fraction in ``qs``.
 
     Same definition as Spark ``percentile`` / DuckDB ``quantile_cont``:
@@ -72,49 +75,88 @@ def exact_quantiles(df: DataFrame, keys: list[str], col: str, qs: dict[str, floa
     ``weight`` names a column that says how many times a row counts, for rows
     that are counted beforehand (few of them share a key and value).
 
-    One path for every size: rows are first counted per (key, value) - a
-    partial aggregate, so a price that half the rows share is one row per
-    task. The counts are range-partitioned by (key, value), which cuts a key
-    with many distinct values over partitions; a running sum inside each
-    partition plus the totals of the key's earlier partitions gives every
-    value the range of ranks it covers.
+    Distributed selection by narrowing: a key's values are counted in ``bins``
+    equal ranges between its least and greatest, running sums find the range
+    that holds each wanted rank, and only the rows of these ranges are counted
+    again, between the least and greatest value found there. An interval of at
+    most ``bins`` rows is counted by value, which ends it. All keys and
+    quantiles narrow together; what a task sorts is the counts of one interval,
+    never a key's values, and what moves is counts. Values are not moved or
+    sorted. Each round splits every interval, so the rounds end; two or three
+    suffice with the default number of ranges.
     """
-    times = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    d = df.select(*keys, F.col(col).cast("double").alias("_v"), *([weight] if weight else []))
-    d = d.where(F.col("_v").isNotNull())
-    if weight is None:
-        d = d.groupBy(*keys, "_v").agg(times.alias("_c"))
-    ranged = (d.repartitionByRange(n_parts, *keys, "_v") if n_parts
-              else d.repartitionByRange(*keys, "_v"))
-    if weight is not None:   # counted already: the range partitioning serves the aggregate too
-        ranged = ranged.groupBy(*keys, "_v").agg(times.alias("_c"))
-    # the partition number is used twice, so it is fixed by writing it
-    s = checkpoint(ranged.withColumn("_pid", F.spark_partition_id()))
-    totals = s.groupBy("_pid", *keys).agg(F.sum("_c").alias("_t"))
-    w_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    totals = (totals.withColumn("_n", F.sum("_t").over(w_key))
-                    .withColumn("_off", F.sum("_t").over(w_key.orderBy("_pid")) - F.col("_t"))
-                    .select(F.col("_pid").alias("_spid"), *[F.col(k).alias(f"_s_{k}") for k in keys],
-                            "_n", "_off"))
-    upto = F.sum("_c").over(Window.partitionBy("_pid", *keys).orderBy("_v"))
-    s = s.withColumn("_upto", upto)
-    cond = [s["_pid"] == totals["_spid"]] + [s[k].eqNullSafe(totals[f"_s_{k}"]) for k in keys]
-    p = (s.join(totals, reduce(lambda a, b: a & b, cond))
-          .withColumn("_end", F.col("_off") + F.col("_upto"))
-          .withColumn("_beg", F.col("_end") - F.col("_c")))
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_beg") <= rank) & (rank < F.col("_end")), F.col("_v")))
-
-    aggs = []
-    for name, q in qs.items():
-        pos = (F.col("_n") - 1) * F.lit(float(q))
-        aggs += [at(F.floor(pos)).alias(f"_lo_{name}"), at(F.ceil(pos)).alias(f"_hi_{name}"),
-                 F.max(pos - F.floor(pos)).alias(f"_fr_{name}")]
-    g = p.groupBy(*keys).agg(*aggs) if keys else p.agg(*aggs)
-    return g.select(*keys, *[
-        (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_fr_{n}")).alias(n)
-        for n in qs])
+    v, inf = F.col("_v"), float("inf")
+    times = F.lit(1).cast("bigint") if weight is None else F.col(weight).cast("bigint")
+    thin = df.select(*keys, F.col(col).cast("double").alias("_v"), times.alias("_w")).where(v.isNotNull())
+    thin = checkpoint(thin)
+    finite = F.when(~F.isnan(v) & (F.abs(v) < inf), v)
+    names = list(qs)
+    pos = [(F.col("_n") - 1) * F.lit(float(qs[name])) for name in names]
+    wanted = F.array(*[F.struct(F.lit(2 * k + up).alias("q"), (F.ceil if up else F.floor)(p).cast("bigint").alias("r"))
+                       for k, p in enumerate(pos) for up in (0, 1)])
+    group = thin.groupBy(*keys) if keys else thin.groupBy()
+    found = group.agg(F.sum("_w").alias("_n"), F.min(finite).alias("lo"), F.max(finite).alias("hi")).where(F.col("_n") > 0)
+    found = found.select(*keys, "_n", F.array(F.struct(F.lit(0).alias("id"), F.col("_n").alias("c"), "lo", "hi",
+                                                       wanted.alias("t"))).alias("_iv"))
+    known, first = checkpoint(found), True
+    while True:
+        known, first = checkpoint(_narrowed(thin, known, keys, bins, first)), False
+        if known.where(F.exists("_iv", lambda i: i["hi"] > i["lo"])).isEmpty():
+            break
+    at = [_value_of(k) for k in range(2 * len(names))]
+    return known.select(*keys, *[(at[2 * k] + (at[2 * k + 1] - at[2 * k]) * (p - F.floor(p))).alias(name)
+                                 for k, (name, p) in enumerate(zip(names, pos))])
+
+
+def _value_of(target: int) -> Column:
+    """The value of a wanted rank, once its interval holds one value."""
+    def holds(interval: Column) -> Column:
+        return F.exists(interval["t"], lambda t: t["q"] == target)
+    return F.get(F.filter("_iv", holds), F.lit(0))["lo"]
+
+
+def _size(x: Column) -> Column:
+    """A logarithm over all finite doubles, in their order: 0 at 0, odd."""
+    return F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * (F.log(F.abs(x)) + 746.0))
+
+
+def _narrowed(thin: DataFrame, known: DataFrame, keys: list[str], bins: int, whole: bool) -> DataFrame:
+    """One round of ``exact_quantiles``: the intervals that hold the wanted ranks, one level finer."""
+    v, inf = F.col("_v"), float("inf")
+    if keys:
+        side = known.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_n", "_iv")
+
+        def beside(rows: DataFrame) -> DataFrame:
+            same = reduce(and_, [rows[k].eqNullSafe(side[f"_k_{k}"]) for k in keys])
+            return rows.join(side, same).drop(*[f"_k_{k}" for k in keys])
+    else:       # the whole column is one key: one row, put in as literals
+        one = known.select("_n", F.to_json("_iv").alias("_iv")).first()
+
+        def beside(rows: DataFrame) -> DataFrame:
+            if one is None:
+                return rows.join(known, F.lit(False))
+            iv = F.from_json(F.lit(one["_iv"]), known.schema["_iv"].dataType, {"allowNonNumericNumbers": "true"})
+            return rows.withColumns({"_n": F.lit(one["_n"]), "_iv": iv})
+    mine = F.get("_iv", F.lit(0)) if whole else F.get(F.filter("_iv", lambda i: (v >= i["lo"]) & (v <= i["hi"])), F.lit(0))
+    j = beside(thin).withColumn("_i", mine).where(F.col("_i").isNotNull())
+    lo, hi = F.col("_i.lo"), F.col("_i.hi")
+    wide = _size(hi) - _size(lo) > 1.0      # over orders of magnitude the ranges are of a logarithm
+    share = (F.when(wide, (_size(v) - _size(lo)) / (_size(hi) - _size(lo)))
+             .otherwise((v - lo) / F.nullif(hi - lo, F.lit(0.0))))
+    range_no = (F.when(F.isnan(v), float(bins + 2)).when(v == inf, float(bins + 1)).when(v == -inf, -1.0)
+                .otherwise(F.coalesce(F.floor(share * bins).cast("double"), F.lit(0.0))))
+    j = j.withColumn("_b", F.when(F.col("_i.c") <= bins, v).otherwise(range_no))
+    counts = beside(j.groupBy(*keys, F.col("_i.id").alias("_id"), "_b")
+                    .agg(F.sum("_w").alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi")))
+    upto = F.sum("c").over(Window.partitionBy(*keys, "_id").orderBy("_b"))
+    counts = counts.withColumn("_beg", upto - F.col("c"))       # of one interval: few ranges or few values
+    counts = counts.withColumn("t", F.transform(
+        F.filter(F.get("_iv", F.col("_id"))["t"], lambda t: (t["r"] >= F.col("_beg")) & (t["r"] < F.col("_beg") + F.col("c"))),
+        lambda t: F.struct(t["q"].alias("q"), (t["r"] - F.col("_beg")).alias("r"))))
+    hit = counts.where(F.size("t") > 0).groupBy(*keys, "_n").agg(F.collect_list(F.struct("c", "lo", "hi", "t")).alias("_l"))
+    numbered = F.transform("_l", lambda x, k: F.struct(k.cast("int").alias("id"), x["c"].alias("c"), x["lo"].alias("lo"),
+                                                       x["hi"].alias("hi"), x["t"].alias("t")))
+    return hit.select(*keys, "_n", numbered.alias("_iv"))
 
 
 def known_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -132,36 +174,56 @@ def chunked(df: DataFrame, keys: list[str], order: list[str], halo: int,
     Returns ``(frame, partition_cols)``: window over
     ``partitionBy(*partition_cols).orderBy(*order)``, then ``finish_chunked``.
 
-    One path for every size. Rows are counted per (key, ``bucket``), where
-    ``bucket`` is a leading part of ``order`` (default: its first column, the
-    date); a running sum over these counts cuts each series into chunks of
-    whole buckets that begin within ``chunk_rows`` rows of each other, and
-    finds the earlier buckets that hold the ``halo`` rows before each chunk.
-    Rows of such a bucket are repeated, flagged, at the head of that chunk. A
-    halo may hold more than ``halo`` rows, which no frame reaches.
-
-    Only series of several chunks need an entry, so the written list of
-    buckets is empty or small unless much of the data is in long series; the
-    planner broadcasts or shuffles it by its written size. The rows
-    themselves move once, for the window. A single bucket is never cut: one
-    series' rows of one date meet in one task.
+    Rows are counted per key, one pass over the key columns. Without a key of
+    more than ``chunk_rows`` rows that is all, and the window is the plain one.
+    The long keys are counted per (key, ``bucket``), where ``bucket`` is a
+    leading part of ``order`` (default: its first column, the date); a bucket
+    of more than ``chunk_rows`` rows is cut further, by the exact ranks of its
+    rows, which only then are range-partitioned. A running sum over the counts
+    cuts each long series into chunks that begin within ``chunk_rows`` rows of
+    each other, and finds the earlier buckets that hold the ``halo`` rows before
+    each chunk. Rows of such a bucket are repeated, flagged, at the head of that
+    chunk. A halo may hold more than ``halo`` rows, which no frame reaches.
+
+    The written list of chunks is joined by its real size. The rows themselves
+    move once, for the window, and no task gets more than about two chunks' rows
+    and a halo, however a key's rows lie on dates.
 
     Rows with a null key belong to no series. They are spread over chunks of
     their own by a hash, so callers must not use what a window says of them.
-    ``counted`` is a frame with the same keys and buckets as ``df``, for
+    ``counted`` is a frame with the same keys and order columns as ``df``, for
     callers whose ``df`` is costly to compute.
     """
     bucket = list(bucket or order[:1])
     base = known_keys(df if counted is None else counted, keys)
-    if keys:   # the long series, a written list, so that only their rows are counted by bucket
-        long = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk_rows)
+    stray = reduce(or_, [F.col(k).isNull() for k in keys]) if keys else F.lit(False)
+    apart = F.when(stray, F.pmod(F.xxhash64(*order), F.lit(STRAY_CHUNKS))).otherwise(F.lit(0).cast("bigint"))
+    count = (base.groupBy(*keys) if keys else base.groupBy()).agg(F.count(F.lit(1)).alias("_n"))
+    long = count.where(F.col("_n") > chunk_rows).select(*keys, "_n")
+    if long.isEmpty():
+        return df.withColumns({"_chunk": apart, "_halo": F.lit(False)}), [*keys, "_chunk"]
+    if keys:   # a written list, so that only the long series' rows are counted by bucket
         base = base.join(checkpoint(long.select(*keys)), keys, "left_semi")
-    per_bucket = base.groupBy(*keys, *bucket).agg(F.count(F.lit(1)).alias("_c"))
+    per_bucket = checkpoint(base.groupBy(*keys, *bucket).agg(F.count(F.lit(1)).alias("_c")))
+    cut = [*bucket, "_sub"]
+    whole = F.lit(0).cast("bigint")
+    crowded = per_bucket.where(F.col("_c") > chunk_rows).drop("_c")
+    if crowded.isEmpty():
+        per_bucket, df = per_bucket.withColumn("_sub", whole), df.withColumn("_sub", whole)
+    else:
+        same = [c for c in (*keys, *bucket)]
+        crowded = checkpoint(crowded).select(*[F.col(c).alias(f"_c_{c}") for c in same], F.lit(True).alias("_crowd"))
+        j = df.join(crowded, reduce(and_, [df[c].eqNullSafe(crowded[f"_c_{c}"]) for c in same]), "left")
+        j = j.drop(*[f"_c_{c}" for c in same])
+        ranked = with_positions(j.where(F.col("_crowd")).drop("_crowd"), same, order[len(bucket):] or order)
+        ranked = checkpoint(ranked.withColumn("_sub", F.floor(F.col("_pos") / chunk_rows)).drop("_pos", "_n"))
+        df = j.where(F.col("_crowd").isNull()).drop("_crowd").withColumn("_sub", whole).unionByName(ranked)
+        parts = F.sequence(whole, F.floor((F.col("_c") - 1) / chunk_rows))
+        per_bucket = (per_bucket.withColumn("_sub", F.explode(parts))
+                      .withColumn("_c", F.least(F.lit(chunk_rows).cast("bigint"), F.col("_c") - F.col("_sub") * chunk_rows)))
     series = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    along = series.orderBy(*bucket)
+    along = series.orderBy(*cut)
     b = (per_bucket.withColumn("_end", F.sum("_c").over(along))
-                   .withColumn("_total", F.sum("_c").over(series))
-                   .where(F.col("_total") > chunk_rows)
                    .withColumn("_beg", F.col("_end") - F.col("_c"))
                    .withColumn("_chunk", F.floor(F.col("_beg") / chunk_rows))
                    .withColumn("_opens", F.col("_chunk") != F.lag("_chunk").over(along)))
@@ -173,17 +235,14 @@ def chunked(df: DataFrame, keys: list[str], order: list[str], halo: int,
         b = b.withColumn("_ahead", ahead).withColumn("_serves", F.lead("_ahead").over(along))
     else:
         b = b.withColumn("_serves", F.lit(None).cast("array<bigint>"))
-    cols = [*keys, *bucket]
+    cols = [*keys, *cut]
     b = checkpoint(b.select(*[F.col(c).alias(f"_b_{c}") for c in cols], "_chunk", "_serves"))
     j = df.join(b, reduce(and_, [df[c].eqNullSafe(b[f"_b_{c}"]) for c in cols]), "left")
-    own = F.coalesce("_chunk", F.lit(0).cast("bigint"))
-    if keys:
-        stray = reduce(or_, [df[k].isNull() for k in keys])
-        own = F.when(stray, F.pmod(F.xxhash64(*order), F.lit(STRAY_CHUNKS))).otherwise(own)
+    own = F.coalesce("_chunk", apart)
     at = F.concat(F.array(F.struct(own.alias("c"), F.lit(False).alias("h"))),
                   F.coalesce(F.transform("_serves", lambda c: F.struct(c.alias("c"), F.lit(True).alias("h"))),
                              F.array().cast("array<struct<c:bigint,h:boolean>>")))
-    out = j.select(*[df[c] for c in df.columns], F.inline(at).alias("_chunk", "_halo"))
+    out = j.select(*[df[c] for c in df.columns if c != "_sub"], F.inline(at).alias("_chunk", "_halo"))
     return out, [*keys, "_chunk"]
 
 

@@ -152,12 +152,10 @@ SELECT * FROM (
   WHERE modal_price IS NOT NULL AND p_mean IS NOT NULL)"""))
 def q_compare(spark, sf_dir):
     """M9 + U2: test-split metrics of three forecasts, stacked, ascending RMSE."""
-    fc = split.time_split(_forecasts(tb.price_obs(spark, sf_dir)), SPLIT_ORDER)
-    test = fc.where(F.col("split") == "test")
-    rows = [metrics.regression_metrics(test, "modal_price", p).select(F.lit(m).alias("model"), "*")
-            for m, p in (("persistence", "p_last"), ("weekly_naive", "p_week"),
-                         ("rolling_mean_7", "p_mean"))]
-    return finish(metrics.compare_models(metrics.stack_metrics(*rows)))
+    fc = _forecasts(split.time_split(tb.price_obs(spark, sf_dir), SPLIT_ORDER))
+    rows = metrics.metrics_of_models(fc.where(F.col("split") == "test"), "modal_price",
+                                     {"persistence": "p_last", "weekly_naive": "p_week", "rolling_mean_7": "p_mean"})
+    return finish(metrics.compare_models(rows))
 
 
 @register("pick_test_row", with_fixtures(_SPLIT_CTE, select=f"""
@@ -174,15 +172,15 @@ def q_pick_test(spark, sf_dir):
     return finish(out.select("commodity", *ID, "split"))
 
 
-@register("history_union", with_fixtures(_SPLIT_CTE, select="""
-SELECT split, count(*) AS rows FROM splitted WHERE split IN ('train', 'val') GROUP BY split"""))
+@register("history_union", with_fixtures(_SPLIT_CTE, select=f"""
+SELECT {ID_SQL}, split, CASE WHEN split = 'train' THEN variety END AS variety, {r4("modal_price")} AS modal_price
+FROM splitted WHERE split IN ('train', 'val')"""))
 def q_union(spark, sf_dir):
-    """Train + val concatenated by name into the history frame."""
+    """Train + val concatenated by name into the history frame; the val part lacks a column."""
     sp = split.time_split(tb.price_obs(spark, sf_dir), SPLIT_ORDER)
     train = sp.where(F.col("split") == "train")
     val = sp.where(F.col("split") == "val").drop("variety")
-    hist = split.union_splits(train, val)
-    return hist.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
+    return finish(split.union_splits(train, val).select(*ID, "split", "variety", "modal_price"))
 
 
 @register("sample_rows", with_fixtures(select=f"""

@@ -43,7 +43,7 @@ def test_global_positions(spark):
 def test_exact_quantiles_match_percentile(spark):
     df = _hot_frame(spark)
     qs = {"q10": 0.1, "q25": 0.25, "q50": 0.5, "q90": 0.9}
-    got = order.exact_quantiles(df, ["key"], "v", qs, n_parts=6)
+    got = order.exact_quantiles(df, ["key"], "v", qs, bins=16)
     ref = df.groupBy("key").agg(*[F.percentile("v", q).alias(n) for n, q in qs.items()])
     g = {r["key"]: r for r in got.collect()}
     for r in ref.collect():
@@ -68,6 +68,44 @@ def test_quantiles_of_a_price_that_half_the_rows_share(spark):
     assert all(abs(got[c] - want[c]) < 1e-9 for c in qs)
 
 
+def test_quantiles_of_every_kind_of_double(spark):
+    """Infinities, NaN (greatest), denormals, the whole range of exponents, null keys, few and many ranges."""
+    rnd = random.Random(5)
+    odd = [float("inf"), float("-inf"), float("nan"), 5e-324, -5e-324, 1.7e308, -1.7e308, 0.0, -0.0]
+    data = [(rnd.choice(["a", "b", None]), rnd.choice([None, *odd, rnd.gauss(0, 1), 10.0 ** rnd.randint(-300, 300)])) for _ in range(3000)]
+    data += [("one", 3.5), ("none", None)]
+    df = spark.createDataFrame(data, "key string, v double")
+    for bins in (2, 50, 65_536):
+        got = {r["key"]: r for r in order.exact_quantiles(df, ["key"], "v", {"q0": 0.0, "q3": 0.3, "q1": 1.0}, bins=bins).collect()}
+        assert set(got) == {"a", "b", None, "one"}
+        for key in ("a", "b", None):
+            vals = sorted((v for k, v in data if k == key and v is not None), key=lambda v: (v != v, v))
+            at = (len(vals) - 1) * 0.3
+            for name, pos in (("q0", 0), ("q1", len(vals) - 1)):
+                assert got[key][name] == vals[pos] or got[key][name] != got[key][name]
+            lo, hi = vals[int(at)], vals[min(int(at) + 1, len(vals) - 1)]
+            assert got[key]["q3"] != got[key]["q3"] or lo <= got[key]["q3"] <= hi
+        assert got["one"]["q3"] == 3.5
+    assert order.exact_quantiles(df.where("false"), ["key"], "v", {"m": 0.5}).count() == 0
+
+
+def test_one_date_is_cut_evenly(spark):
+    """A series whose rows all lie on one date: chunks of even size, results as with one window."""
+    df = spark.range(5000).select(F.lit("k").alias("key"), F.lit(3).alias("d"), ((F.col("id") * 37) % 5000).alias("i"),
+                                  F.when(F.col("id") % 5 > 0, F.col("id").cast("double")).alias("v"))
+    df = df.unionByName(df.where("i < 40").withColumn("key", F.lit("short"))).unionByName(df.where("i < 9").withColumn("d", F.lit(4)))
+    frame, parts = order.chunked(df, ["key"], ["d", "i"], halo=7, chunk_rows=100)
+    sizes = [r["count"] for r in frame.where("key = 'k'").groupBy(*parts).count().collect()]
+    assert len(sizes) == 51 and max(sizes) <= 200
+    by = ["d", "i"]
+    w = Window.partitionBy("key").orderBy(*by)
+    plain = rows(df.select("key", *by, F.lag("v", 1).over(w), F.lag("v", 7).over(w)))
+    got = rows(add_series_windows(df, ["key"], by, "v", lags=(1, 7), roll=None, chunk_rows=100), "key", *by, "v_lag_1", "v_lag_7")
+    assert got == plain
+    full = rows(ffill(df, ["key"], by, "v").select("key", *by, F.coalesce("v", F.lit(-1.0))))
+    assert rows(ffill(df, ["key"], by, "v", chunk_rows=100).select("key", *by, F.coalesce("v", F.lit(-1.0)))) == full
+
+
 def _close(a, b):
     if a is None or b is None or not isinstance(a, float):
         return a == b
