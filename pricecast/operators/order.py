@@ -96,7 +96,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], col: str, qs: dict[str, floa
                        for k, p in enumerate(pos) for up in (0, 1)])
     group = thin.groupBy(*keys) if keys else thin.groupBy()
     found = group.agg(F.sum("_w").alias("_n"), F.min(finite).alias("lo"), F.max(finite).alias("hi")).where(F.col("_n") > 0)
-    found = found.select(*keys, "_n", F.array(F.struct(F.lit(0).alias("id"), F.col("_n").alias("c"), "lo", "hi",
+    # a written number stands for the key in all counts, which then move and sort as numbers
+    found = found.select(*keys, "_n", F.monotonically_increasing_id().alias("_g"), F.array(F.struct(F.lit(0).alias("id"), F.col("_n").alias("c"), "lo", "hi",
                                                        wanted.alias("t"))).alias("_iv"))
     known, first = checkpoint(found), True
     while True:
@@ -124,39 +125,34 @@ def _narrowed(thin: DataFrame, known: DataFrame, keys: list[str], bins: int, who
     """One round of ``exact_quantiles``: the intervals that hold the wanted ranks, one level finer."""
     v, inf = F.col("_v"), float("inf")
     if keys:
-        side = known.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_n", "_iv")
-
-        def beside(rows: DataFrame) -> DataFrame:
-            same = reduce(and_, [rows[k].eqNullSafe(side[f"_k_{k}"]) for k in keys])
-            return rows.join(side, same).drop(*[f"_k_{k}" for k in keys])
-    else:       # the whole column is one key: one row, put in as literals
-        one = known.select("_n", F.to_json("_iv").alias("_iv")).first()
-
-        def beside(rows: DataFrame) -> DataFrame:
-            if one is None:
-                return rows.join(known, F.lit(False))
-            iv = F.from_json(F.lit(one["_iv"]), known.schema["_iv"].dataType, {"allowNonNumericNumbers": "true"})
-            return rows.withColumns({"_n": F.lit(one["_n"]), "_iv": iv})
-    mine = F.get("_iv", F.lit(0)) if whole else F.get(F.filter("_iv", lambda i: (v >= i["lo"]) & (v <= i["hi"])), F.lit(0))
-    j = beside(thin).withColumn("_i", mine).where(F.col("_i").isNotNull())
-    lo, hi = F.col("_i.lo"), F.col("_i.hi")
+        side = known.select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_g", F.inline("_iv")).withColumnRenamed("id", "_id")
+        same = reduce(and_, [thin[k].eqNullSafe(side[f"_k_{k}"]) for k in keys])
+        inside = same if whole else same & (v >= side["lo"]) & (v <= side["hi"])
+        j = thin.join(side.drop("t"), inside)
+    else:       # the whole column is one key, whose few intervals are put in as literals
+        side = known.select("_g", F.inline("_iv")).withColumnRenamed("id", "_id")
+        at = F.lit(None).cast("struct<_g:bigint,_id:int,c:bigint,lo:double,hi:double>")
+        for r in side.collect():
+            here = F.lit(True) if whole else (v >= F.lit(r["lo"])) & (v <= F.lit(r["hi"]))
+            at = F.when(here, F.struct(*[F.lit(r[c]).cast(side.schema[c].dataType).alias(c) for c in ("_g", "_id", "c", "lo", "hi")])).otherwise(at)
+        j = thin.withColumn("_i", at).where(F.col("_i").isNotNull()).select("*", "_i.*")
+    lo, hi = F.col("lo"), F.col("hi")
     wide = _size(hi) - _size(lo) > 1.0      # over orders of magnitude the ranges are of a logarithm
     share = (F.when(wide, (_size(v) - _size(lo)) / (_size(hi) - _size(lo)))
              .otherwise((v - lo) / F.nullif(hi - lo, F.lit(0.0))))
     range_no = (F.when(F.isnan(v), float(bins + 2)).when(v == inf, float(bins + 1)).when(v == -inf, -1.0)
                 .otherwise(F.coalesce(F.floor(share * bins).cast("double"), F.lit(0.0))))
-    j = j.withColumn("_b", F.when(F.col("_i.c") <= bins, v).otherwise(range_no))
-    counts = beside(j.groupBy(*keys, F.col("_i.id").alias("_id"), "_b")
-                    .agg(F.sum("_w").alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi")))
-    upto = F.sum("c").over(Window.partitionBy(*keys, "_id").orderBy("_b"))
+    j = j.withColumn("_b", F.when(F.col("c") <= bins, v).otherwise(range_no))
+    counts = j.groupBy("_g", "_id", "_b").agg(F.sum("_w").alias("c"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
+    upto = F.sum("c").over(Window.partitionBy("_g", "_id").orderBy("_b"))
     counts = counts.withColumn("_beg", upto - F.col("c"))       # of one interval: few ranges or few values
-    counts = counts.withColumn("t", F.transform(
-        F.filter(F.get("_iv", F.col("_id"))["t"], lambda t: (t["r"] >= F.col("_beg")) & (t["r"] < F.col("_beg") + F.col("c"))),
-        lambda t: F.struct(t["q"].alias("q"), (t["r"] - F.col("_beg")).alias("r"))))
-    hit = counts.where(F.size("t") > 0).groupBy(*keys, "_n").agg(F.collect_list(F.struct("c", "lo", "hi", "t")).alias("_l"))
+    held = F.filter("t", lambda t: (t["r"] >= F.col("_beg")) & (t["r"] < F.col("_beg") + F.col("c")))
+    hit = counts.join(side.select("_g", "_id", "t"), ["_g", "_id"]).withColumn("t", held).where(F.size("t") > 0)
+    hit = hit.withColumn("t", F.transform("t", lambda t: F.struct(t["q"].alias("q"), (t["r"] - F.col("_beg")).alias("r"))))
+    hit = hit.groupBy("_g").agg(F.collect_list(F.struct("c", "lo", "hi", "t")).alias("_l"))
     numbered = F.transform("_l", lambda x, k: F.struct(k.cast("int").alias("id"), x["c"].alias("c"), x["lo"].alias("lo"),
                                                        x["hi"].alias("hi"), x["t"].alias("t")))
-    return hit.select(*keys, "_n", numbered.alias("_iv"))
+    return known.drop("_iv").join(hit.select("_g", numbered.alias("_iv")), "_g")
 
 
 def known_keys(df: DataFrame, keys: list[str]) -> DataFrame:
