@@ -10,17 +10,18 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from pricecast.models import arima, attribution, gbt, quantile_gbm, sequence_models, stacking
+from pricecast.models import arima, attribution, gbt, hist_trees, quantile_gbm, sequence_models, stacking
 from pricecast.models.common import CAT_COLS, NUM_COLS, ROW_KEY, TARGET, model_frame, request_codes
 from pricecast.operators import metrics, split
 from pricecast.operators.lookup import asof_fallback
 from pricecast.operators.schema import align_features
 from pricecast.plans.catalog import finish, register
 from pricecast.plans.forecast import BandForecaster, confidence, forecast_output
-from pricecast.plans.feature_queries import FEATURES_CTES
+from pricecast.plans.eval_queries import _FC, _forecasts
+from pricecast.plans.feature_queries import _SPLIT_CTE, FEATURES_CTES, ID_SQL
 from pricecast.plans.oracle import norm_sql, r4, with_fixtures
 from pricecast.plans.serve_queries import _FLAGSHIP_SQL, CANDIDATES_CTE, REQ_CTE
-from pricecast.session import ensure_checkpoint_dir
+from pricecast.session import checkpoint, ensure_checkpoint_dir
 from pricecast.sources import tables as tb
 
 SEQ_KEY = ["commodity", "state", "market"]
@@ -102,7 +103,7 @@ def q_stack(spark, sf_dir):
     smodel = sequence_models.fit_sequence_model(sframe.where(F.col("split") == "train"))
     spred = (sequence_models.score(smodel, sframe.where(F.col("split") != "train"))
              .select(*ROW_KEY, F.col("pred_price").alias("seq_pred")))
-    st = stacking.stacking_set(rest, gpred, spred)
+    st = stacking.stacking_set(rest, gpred, spred, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
     mfeats = ["gbt_pred", "seq_pred", "has_seq",
               *[c for c in stacking.CONTEXT if c in st.columns]]
     meta_val, meta_test = st.where(F.col("split") == "val"), st.where(F.col("split") == "test")
@@ -114,6 +115,56 @@ def q_stack(spark, sf_dir):
     return finish(metrics.compare_models(metrics.stack_metrics(meta, *base)))
 
 
+_STACK_CTE = _SPLIT_CTE.replace("FROM price_obs WHERE", "FROM fc WHERE")
+
+
+@register("stacking_set_rows", with_fixtures(_FC, _STACK_CTE, select=f"""
+SELECT {ID_SQL}, split, {r4("modal_price")} AS modal_price, {r4("g")} AS gbt_pred, {r4("coalesce(s, g)")} AS seq_pred,
+  CASE WHEN s IS NULL THEN 0 ELSE 1 END AS has_seq, {r4("coalesce(arrival_quantity, 0)")} AS arrival_quantity
+FROM (SELECT *, CASE WHEN k1 % 5 <> 0 THEN p_mean END AS g, CASE WHEN k2 % 2 = 1 THEN p_last END AS s FROM splitted) WHERE split <> 'train'"""))
+def q_stack_rows(spark, sf_dir):
+    """M3 + J4 + F9: given predictions of two models (the rolling mean without some rows, the last
+    price of every other line) joined by row key over tables stored by it, the second filled from the first."""
+    obs = checkpoint(_forecasts(split.time_split(tb.price_obs(spark, sf_dir), SPLIT_ORDER)).where(F.col("split") != "train"))
+    gpred = obs.where(F.col("k1") % 5 != 0).select(*ROW_KEY, F.col("p_mean").alias("gbt_pred"))
+    spred = obs.where(F.col("k2") % 2 == 1).select(*ROW_KEY, F.col("p_last").alias("seq_pred"))
+    base = obs.select(*ROW_KEY, "split", TARGET, "arrival_quantity")
+    st = stacking.stacking_set(base, gpred, spred, buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return finish(st.select(*ROW_KEY, "split", TARGET, "gbt_pred", "seq_pred", "has_seq", "arrival_quantity"))
+
+
+@register("inner_split_rows", with_fixtures(_SPLIT_CTE, select=f"""
+SELECT {ID_SQL}, CASE WHEN row_number() OVER (ORDER BY arrival_date, k1, k2, k3, market) - 1 < floor(count(*) OVER () * CAST(0.8 AS DOUBLE))
+  THEN 'fit' ELSE 'hold' END AS inner_split FROM splitted WHERE split = 'val'"""))
+def q_inner(spark, sf_dir):
+    """The search's 80/20 split by time of the validation rows."""
+    val = split.time_split(tb.price_obs(spark, sf_dir), SPLIT_ORDER).where(F.col("split") == "val")
+    return finish(stacking.inner_split(val).select(*ROW_KEY, F.col("_inner").alias("inner_split")))
+
+
+@register("reload_scores", with_fixtures(FEATURES_CTES, """pos AS (
+  SELECT *, row_number() OVER (ORDER BY arrival_date, k1, k2, k3, market) - 1 AS p, count(*) OVER () AS n
+  FROM f WHERE modal_lag_7 IS NOT NULL AND arrival_date IS NOT NULL),
+s AS (SELECT CASE WHEN p < floor(n * CAST(0.7 AS DOUBLE)) THEN 'train' WHEN p < floor(n * (CAST(0.7 AS DOUBLE) + CAST(0.15 AS DOUBLE))) THEN 'val'
+  ELSE 'test' END AS split FROM pos)""", select="""
+SELECT split, count(*) AS n, count(*) AS n_equal, count(*) AS n_scored FROM s WHERE split <> 'train' GROUP BY split"""))
+def q_reload(spark, sf_dir):
+    """Models and feature list saved, loaded and scored again: every val and test row gets the same
+    interval as before, to the bit, and the model's ordered features and settings come back."""
+    frame, feats = model_frame(spark, sf_dir)
+    model = quantile_gbm.fit_quantiles(frame.where(F.col("split") == "train"), feats, stages=3, step=STEP)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    hist_trees.save(model, path, spark)
+    again = hist_trees.load(path, spark)
+    if again.feats != feats or again.specs != model.specs:
+        raise ValueError("the loaded model has other features or settings")
+    rest = frame.where(F.col("split") != "train")
+    both = hist_trees.score(again, quantile_gbm.predict_interval(model, rest).withColumnsRenamed({c: f"_{c}" for c in quantile_gbm.NAMES}))
+    same = F.col("p10").eqNullSafe(F.col("_p10")) & F.col("p50").eqNullSafe(F.col("_p50")) & F.col("p90").eqNullSafe(F.col("_p90"))
+    known = F.col("p10").isNotNull() & F.col("p90").isNotNull()
+    return both.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum(same.cast("long")).alias("n_equal"), F.sum(known.cast("long")).alias("n_scored"))
+
+
 _DATE_FEATS = ("month", "day_of_week", "weekofyear", "month_sin", "month_cos", "dow_sin", "dow_cos")
 _ECHO = ["request_id", "state", "market", "commodity", "arrival_date", "fallback_level"]
 
