@@ -1,17 +1,22 @@
-"""Benchmark decontamination by a document-partitioned positional inverted index (operator 8).
-
-Documents are indexed shard by shard, where they lie: a shard's postings are one sorted array of
-(term, position), restricted to the terms that the benchmark uses. Every benchmark window (a
-run of ``width`` words, or a shorter item's all words) is looked up in every shard: the list
-of its rarest term in that shard is taken, shifted by the term's offset, and intersected with
-the shifted lists of the other terms, rarest first. What is left are exact phrase matches. The
-same lists, intersected within ``slop`` positions instead, give proximity matches.
-
-A shard is one bounded chunk of rows inside a task: no posting list is gathered across tasks, so
-no frequent term and no common passage can make a task large, and a lost task is redone alone.
-Nothing is shuffled. The benchmark reaches the tasks in slices of at most ``SLICE_WORDS`` words,
-one pass over the documents per slice; the passes are written one after the other, so a task
-holds one slice and the driver two at most, however long the benchmark is.
+"""Benchmark decontamination by a stored, distributed positional inverted index (operator 8).
+
+* The benchmark is cut into windows (a run of ``width`` words, or a shorter item's all words); its
+  distinct words are numbered in a written dictionary.
+* ``index`` writes the documents' postings, one row (term, document key, position) per word that the
+  dictionary knows, sorted by term. A bitmap of fixed size (``SIEVE`` bits, from word checksums)
+  keeps most other words from leaving the tokenizer; the join with the dictionary is exact.
+* Terms are counted once over the whole index. Every window takes the list of its globally rarest
+  term, shifted by the term's offset, and intersects it with the shifted list of its second rarest
+  and then of all its other terms, by equi-joins on (document, term, position). What is left are
+  exact phrase matches; the same joins on position ranges of ``2 * slop + 1`` give proximity matches:
+  every term within ``slop`` positions of its place beside the rarest.
+
+No benchmark row reaches the driver, only the bitmap. Lists are never gathered: a frequent term or a
+common passage is many rows, which joins and counts spread, and adaptive execution may split. The
+tables that grow with the benchmark or the matches are written before they are joined, so their size
+decides for a broadcast. Postings are cut to the documents that still have a candidate before they
+are moved. A document's key is two 64-bit hashes of id and text: rows that share it (repeated rows)
+have the same words and share their result.
 
 Defined cases: null and empty texts have no words and are never hit; items without words are
 ignored; items with a null id hit words but are not listed; equal item ids count once; repeated
@@ -20,20 +25,22 @@ document rows are judged one by one; an empty benchmark hits nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from hashlib import sha256
+from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from pricecast.llm.common import append_columns, checkpoint, fresh_name, map_columns
 
-WIDTH = 10
+WIDTH = 10            # at most 62
 SLOP = 5
-SLICE_WORDS = 400_000
-GAP = 64              # empty positions between the documents of a shard; more than WIDTH + SLOP
+SIEVE = 1 << 24       # bits
+BATCH = 200_000       # rows of one output batch
 
 #: A-Z to lower case; 0x00-0x2F, 0x3A-0x60 and 0x7B-0x7F part words; the rest, and all of UTF-8, stays.
 _TABLE = bytes(0x20 if (c <= 0x2F or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F)
@@ -44,187 +51,183 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_TABLE).split()
 
 
-class Windows:
-    """A slice of the benchmark as arrays: terms by number, windows by length."""
+KEY = ["k1", "k2"]
+WINDOWS = T.StructType([T.StructField("item", T.StringType()), T.StructField("window", T.StringType())])
+WORDS = T.StructType([T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("word", T.StringType()),
+                      T.StructField("pos", T.IntegerType())])
+
+
+def _keys(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    return [F.xxhash64(docs[id_col], docs[text_col]), F.xxhash64(F.lit("second"), docs[text_col], docs[id_col])]
+
+
+def _texts(found: list[bytes]) -> pa.Array:
+    """Words are cut at ASCII characters, so they are UTF-8 as the text was."""
+    return pa.array(found, pa.binary()).cast(pa.string())
+
+
+def _spread(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[list[pa.Array]]], schema: T.StructType) -> DataFrame:
+    """``df`` through a generator of column lists."""
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for columns in rows(batch):
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+    return df.mapInArrow(run, schema)
+
+
+def windows(benchmark: DataFrame, width: int = WIDTH, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item, window) pairs, each once; a window is its words, joined by spaces."""
+    def rows(batch: pa.RecordBatch) -> Iterator[list[pa.Array]]:
+        for name, text in zip(batch.column("i").to_pylist(), batch.column("t").to_pylist(), strict=True):
+            ws = words(text)
+            n = min(width, len(ws))
+            for at in range(0, len(ws) - n + 1 if ws else 0, BATCH // width):
+                own = [b" ".join(ws[k:k + n]) for k in range(at, min(at + BATCH // width, len(ws) - n + 1))]
+                yield [pa.array([name] * len(own), pa.string()), _texts(own)]
 
-    def __init__(self, items: list[tuple[str | None, list[bytes]]], width: int):
-        self.terms: dict[bytes, int] = {}
-        self.names: list[str | None] = []
-        by_len: dict[int, dict[tuple[int, ...], set[int]]] = {}
-        for name, ws in items:
+    own = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
+    return _spread(own, rows, WINDOWS).distinct()
+
+
+def sieve(dictionary: DataFrame) -> bytes:
+    """``SIEVE`` bits, set where a term's checksum falls."""
+    at = (F.crc32("word") % SIEVE) + 1
+    parts = (dictionary.groupBy(F.bitmap_bucket_number(at).alias("b"))
+             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect())
+    out = np.zeros((SIEVE // 32768, 4096), dtype=np.uint8)
+    for r in parts:
+        out[r["b"] - 1] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return out.tobytes()
+
+
+def index(docs: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The postings (tid, k1, k2, pos) of the dictionary's terms, a written table sorted by term."""
+    packed = sieve(dictionary)
+
+    def rows(batch: pa.RecordBatch) -> Iterator[list[pa.Array]]:
+        known = np.unpackbits(np.frombuffer(packed, dtype=np.uint8), bitorder="little").view(bool)
+        held: list[tuple] = []
+
+        def out() -> list[pa.Array]:
+            counts = [len(x[2]) for x in held]
+            return [pa.array(np.repeat([x[0] for x in held], counts).astype(np.int64)), pa.array(np.repeat([x[1] for x in held], counts).astype(np.int64)),
+                    _texts([w for x in held for w in x[2]]), pa.array(np.concatenate([x[3] for x in held]).astype(np.int32))]
+
+        size = 0
+        for k1, k2, text in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "t")), strict=True):
+            ws = words(text)
             if not ws:
                 continue
-            self.names.append(name)
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in ws]
-            n = min(width, len(ids))
-            for i in range(len(ids) - n + 1):
-                by_len.setdefault(n, {}).setdefault(tuple(ids[i:i + n]), set()).add(len(self.names) - 1)
-        # per length: distinct windows, and the (window, item) pairs
-        self.groups = []
-        for n, ws in by_len.items():
-            pairs = [(k, i) for k, items_ in enumerate(ws.values()) for i in sorted(items_)]
-            self.groups.append((n, np.array(list(ws), dtype=np.int64), np.array(pairs, dtype=np.int64)))
-
-
-def slices(benchmark: DataFrame, width: int = WIDTH, id_col: str = "item_id", text_col: str = "text") -> Iterator[Windows]:
-    """The benchmark in parts of at most SLICE_WORDS words (a longer single item is cut with overlap)."""
-    held, size = [], 0
-    for row in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        ws = words(row["t"])
-        step = SLICE_WORDS
-        for at in range(0, max(1, len(ws) - width + 1), step):
-            part = ws[at:at + step + width - 1]
-            if held and size + len(part) > SLICE_WORDS:
-                full, held, size = held, [], 0
-                yield Windows(full, width)
-                del full
-            held.append((row["i"], part))
-            size += len(part)
-    if held:
-        yield Windows(held, width)
-
-
-class Shard:
-    """Positional postings of a few documents, one sorted array of term * span + position."""
-
-    def __init__(self, docs: list[list[bytes]], terms: dict[bytes, int]):
-        self.starts = np.zeros(len(docs), dtype=np.int64)
-        ids, pos, at = [], [], GAP
-        get = terms.get
-        for k, ws in enumerate(docs):
-            self.starts[k] = at
-            row = np.fromiter((get(w, -1) for w in ws), dtype=np.int64, count=len(ws))
-            known = np.flatnonzero(row >= 0)
-            ids.append(row[known])
-            pos.append(known + at)
-            at += len(ws) + GAP
-        self.span = at + GAP
-        t = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int64)
-        p = np.concatenate(pos) if pos else np.zeros(0, dtype=np.int64)
-        self.keys = np.sort(t * self.span + p)
-        self.first = np.searchsorted(self.keys, np.arange(len(terms) + 1) * self.span)
-        self.counts = np.diff(self.first)
-
-    def has(self, term: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Whether each term has a posting in its [low, high]."""
-        at = np.searchsorted(self.keys, term * self.span + low)
-        at_most = np.append(self.keys, np.iinfo(np.int64).max)[at]
-        return at_most <= term * self.span + high
-
-    def matches(self, windows: np.ndarray, slop: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """(window index, position): of its first word for phrases (slop 0), else of its rarest word."""
-        freq = self.counts[windows]
-        live = np.flatnonzero(freq.min(axis=1) > 0)
-        if not len(live):
-            return live, live
-        order = np.argsort(freq[live], axis=1, kind="stable")
-        rare = order[:, 0]
-        term = windows[live, rare]
-        n = self.counts[term]
-        which = np.repeat(np.arange(len(live)), n)
-        inner = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        at = self.keys[self.first[term][which] + inner] - term[which] * self.span
-        at = at - (rare[which] if slop == 0 else 0)
-        for step in range(1, windows.shape[1]):
-            if not len(which):
-                break
-            off = order[which, step]
-            term = windows[live[which], off]
-            ok = self.has(term, at + off, at + off) if slop == 0 else \
-                self.has(term, at + off - rare[which] - slop, at + off - rare[which] + slop)
-            which, at = which[ok], at[ok]
-        return live[which], at
-
-
-def _scan(texts: list, win: Windows, slop: int):
-    """Per text: number of words, merged hit ranges, items hit exactly, items hit nearby."""
-    docs = [words(t) for t in texts]
-    shard = Shard(docs, win.terms)
-    hits: list[list[tuple[int, int]]] = [[] for _ in docs]
-    exact: list[set[int]] = [set() for _ in docs]
-    near: list[set[int]] = [set() for _ in docs]
-    for n, windows, pairs in win.groups:
-        bounds = np.searchsorted(pairs[:, 0], np.arange(len(windows) + 1))
-        for dist, found in ((0, exact), (slop, near)):
-            if dist == 0 and slop < 0:
-                continue
-            w, at = shard.matches(windows, dist)
-            doc = np.searchsorted(shard.starts, at, side="right") - 1
-            for k, i, p in zip(w.tolist(), doc.tolist(), at.tolist(), strict=True):
-                found[i].update(pairs[bounds[k]:bounds[k + 1], 1].tolist())
-                if dist == 0:
-                    p -= int(shard.starts[i])
-                    hits[i].append((p, p + n))
-            if slop == 0:
-                break
-    return docs, hits, exact, near
-
-
-def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(ranges):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
-
-
-def _matcher(win: Windows, slop: int):
-    """The row function of one pass: what ``win`` hits, added to what earlier passes found."""
-    def run(texts: list, ranges=None, items=None, near_items=None) -> list[list]:
-        ws, hits, exact, near = _scan(texts, win, slop)
-        n = len(texts)
-        ranges, items, near_items = ranges or [[]] * n, items or [[]] * n, near_items or [[]] * n
-        name = lambda found: {win.names[i] for i in found if win.names[i] is not None}
-        return [[len(w) for w in ws],
-                [[list(x) for x in _merge([*map(tuple, ranges[i]), *hits[i]])] for i in range(n)],
-                [sorted({*items[i], *name(exact[i])}) for i in range(n)],
-                [sorted({*near_items[i], *name(near[i])}) for i in range(n)]]
-
-    return run
-
-
-def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int = SLOP,
+            sums = np.fromiter(map(crc32, ws), dtype=np.uint32, count=len(ws))
+            at = np.flatnonzero(known[sums & np.uint32(SIEVE - 1)])
+            for cut in range(0, len(at), BATCH):
+                part = at[cut:cut + BATCH]
+                held.append((k1, k2, [ws[i] for i in part.tolist()], part))
+                size += len(part)
+                if size >= BATCH:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    k1, k2 = _keys(docs, id_col, text_col)
+    found = _spread(docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text_col).alias("t")), rows, WORDS)
+    return checkpoint(found.join(dictionary, "word").select("tid", "k1", "k2", "pos").sortWithinPartitions("tid"))
+
+
+def _met(postings: DataFrame, found: DataFrame, plans: DataFrame, first: int, last: int, slop: int) -> DataFrame:
+    """Candidates of ``found`` (k1, k2, wid, start, exact) that meet their terms ``first`` to ``last``, by rarity; written."""
+    need = found.join(plans, "wid").where(F.col("n") > first)
+    want = F.least(F.col("n"), F.lit(last)) - first
+    need = need.select(*KEY, "wid", "start", "exact", want.alias("want"), F.inline(F.slice("t", first + 1, last - first)))
+    need = need.withColumn("place", F.col("start") + F.col("off"))
+    wide = 2 * slop + 1
+    ranges = F.array_distinct(F.array(F.floor((F.col("place") - slop) / wide), F.floor((F.col("place") + slop) / wide)))
+    need = need.withColumn("range", F.explode(ranges))
+    few = postings.join(checkpoint(found.select(*KEY).distinct()), KEY, "left_semi").withColumn("range", F.floor(F.col("pos") / wide))
+    hit = need.join(few, [*KEY, "tid", "range"]).where(F.abs(F.col("pos") - F.col("place")) <= slop)
+    bit = F.expr("shiftleft(1L, off)")
+    met = hit.groupBy(*KEY, "wid", "start", "exact", "want").agg(
+        F.bit_or(bit).alias("near"), F.bit_or(F.when(F.col("pos") == F.col("place"), bit)).alias("at"))
+    met = met.where(F.bit_count("near") == F.col("want"))
+    met = met.select(*KEY, "wid", "start", (F.col("exact") & (F.coalesce(F.bit_count("at"), F.lit(0)) == F.col("want"))).alias("exact"))
+    done = found.join(plans.where(F.col("n") <= first).select("wid"), "wid", "left_semi").select(met.columns)
+    return checkpoint(met.unionByName(done))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int = SLOP, id_col: str = "doc_id",
+            text_col: str = "text") -> DataFrame:
+    """(k1, k2, ranges, items, near_items) of every document key with a match: hit word ranges, end exclusive, merged; written."""
+    pairs = checkpoint(windows(benchmark, width))
+    wins = checkpoint(pairs.select("window").distinct().withColumn("wid", F.monotonically_increasing_id()))
+    listed = checkpoint(pairs.join(wins, "window").select("wid", "item"))
+    terms = wins.select("wid", F.posexplode(F.split("window", " ")).alias("off", "word"))
+    dictionary = checkpoint(terms.select("word").distinct().withColumn("tid", F.monotonically_increasing_id()))
+    postings = index(docs, dictionary, id_col, text_col)
+    rarity = checkpoint(postings.groupBy("tid").agg(F.count(F.lit(1)).alias("df")))
+    known = terms.join(dictionary, "word").join(rarity, "tid", "left").withColumn("df", F.coalesce("df", F.lit(0).cast("long")))
+    plans = known.groupBy("wid").agg(F.sort_array(F.collect_list(F.struct("df", "off", "tid"))).alias("t"))
+    plans = checkpoint(plans.where(F.col("t")[0]["df"] > 0).select("wid", F.size("t").alias("n"), "t"))
+    rarest = plans.select("wid", F.col("t")[0]["tid"].alias("tid"), F.col("t")[0]["off"].alias("off"))
+    found = postings.join(rarest, "tid").select(*KEY, "wid", (F.col("pos") - F.col("off")).alias("start"), F.lit(True).alias("exact"))
+    found = checkpoint((found if slop else found.where(F.col("start") >= 0)).distinct())
+    found = _met(postings, found, plans, 1, 2, slop)
+    found = _met(postings, found, plans, 2, width, slop)
+    named = found.join(listed, "wid").groupBy(*KEY).agg(
+        F.sort_array(F.collect_set(F.when(F.col("exact"), F.col("item")))).alias("items"), F.sort_array(F.collect_set("item")).alias("near_items"))
+    spans = found.where(F.col("exact")).join(plans.select("wid", "n"), "wid").groupBy(*KEY, "start").agg(F.max(F.col("start") + F.col("n")).alias("end"))
+    along = Window.partitionBy(*KEY).orderBy("start")
+    opens = F.col("start") > F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.withColumn("_new", F.coalesce(opens, F.lit(True)).cast("int")).withColumn("_run", F.sum("_new").over(along))
+    spans = spans.groupBy(*KEY, "_run").agg(F.min("start").alias("a"), F.max("end").alias("b"))
+    ranges = spans.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.array(F.col("a").cast("long"), F.col("b").cast("long")))).alias("ranges"))
+    return checkpoint(named.join(ranges, KEY, "left"))
+
+
+def _attached(docs: DataFrame, found: DataFrame, keys: list[Column], names: dict[str, str]) -> DataFrame:
+    """``docs`` with what was found under its key; ``names`` maps ranges, items and near_items to fresh names."""
+    k1, k2 = (fresh_name(docs, f"dc_{k}") for k in KEY)
+    side = found.select(F.col("k1").alias(k1), F.col("k2").alias(k2), *[F.col(c).alias(n) for c, n in names.items()])
+    j = docs.withColumns({k1: keys[0], k2: keys[1]}).join(side, [k1, k2], "left").drop(k1, k2)
+    return j.withColumns({n: F.coalesce(F.col(n), F.array().cast(side.schema[n].dataType)) for n in names.values()})
+
+
+def find(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int = SLOP, id_col: str = "doc_id",
          text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with n_words, ranges (hit word ranges, end exclusive), items and near_items added.
 
     Returns the frame and the names the columns got.
     """
     names = {k: fresh_name(docs, f"dc_{k}") for k in ("n_words", "ranges", "items", "near_items")}
-    kinds = {"n_words": T.LongType(), "ranges": T.ArrayType(T.ArrayType(T.LongType())),
-             "items": T.ArrayType(T.StringType()), "near_items": T.ArrayType(T.StringType())}
-    fields = [T.StructField(names[k], kinds[k]) for k in names]
-    out, done = docs, False
-    parts = slices(benchmark, width)
-    win = next(parts, None) or Windows([], width)
-    while win is not None:
-        if done:    # the slice before it is let go once its pass is written
-            out = checkpoint(out)
-        inputs = [text_col] + ([names[k] for k in ("ranges", "items", "near_items")] if done else [])
-        out = append_columns(out, inputs, _matcher(win, slop), fields, {f.name: f.name for f in fields} if done else None)
-        done, win = True, next(parts, None)
-    return out, names
+    found = matches(docs, benchmark, width, slop, id_col, text_col)
+    out = _attached(docs, found, _keys(docs, id_col, text_col), {k: names[k] for k in ("ranges", "items", "near_items")})
+    return append_columns(out, [text_col], lambda texts: [[len(words(t)) for t in texts]], [T.StructField(names["n_words"], T.LongType())]), names
 
 
 def report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, slop: int = SLOP) -> DataFrame:
     """One row per document: word, hit and item counts, the digest of the items, contaminated."""
-    found, names = find(docs.select("doc_id", "text"), benchmark, width, slop)
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()),
-                           T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()),
-                           T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()),
-                           T.StructField("n_near_items", T.LongType())])
-
-    def digest(ids, n_words, ranges, items, near):
-        hit = [sum(b - a for a, b in r) for r in ranges]
-        return {"doc_id": ids, "n_words": n_words, "n_hit": hit, "n_items": [len(x) for x in items],
-                "items_sha256": [sha256(",".join(x).encode()).hexdigest() for x in items],
-                "contaminated": [h > 0 for h in hit], "n_near_items": [len(x) for x in near]}
-
-    return map_columns(found.select("doc_id", *names.values()), digest, schema)
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    docs = docs.select("doc_id", "text")
+    found = matches(docs, benchmark, width, slop)
+    k1, k2 = _keys(docs, "doc_id", "text")
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("k1", T.LongType()),
+                           T.StructField("k2", T.LongType()), T.StructField("n_words", T.LongType())])
+    counted = map_columns(docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), "text"),
+                          lambda i, a, b, t: {"doc_id": i, "k1": a, "k2": b, "n_words": [len(words(x)) for x in t]}, schema)
+    names = {k: k for k in ("ranges", "items", "near_items")}
+    got = _attached(counted, found, [F.col("k1"), F.col("k2")], names)
+    hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0])
+    return got.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+                      F.size("near_items").cast("long").alias("n_near_items"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a benchmark window; same columns."""
-    found, names = find(docs, benchmark, width, slop=0)
-    return found.where(F.size(names["ranges"]) == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = matches(docs, benchmark, width, 0, id_col, text_col)
+    k1, k2 = (fresh_name(docs, f"dc_{k}") for k in KEY)
+    a, b = _keys(docs, id_col, text_col)
+    hit = found.where(F.size("ranges") > 0).select(F.col("k1").alias(k1), F.col("k2").alias(k2))
+    return docs.withColumns({k1: a, k2: b}).join(hit, [k1, k2], "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

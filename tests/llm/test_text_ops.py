@@ -1,9 +1,6 @@
 """Row operators against brute force: PII, licences, decontamination, chat, toxicity, quality."""
-import gc
 import re
-import weakref
 from hashlib import sha256
-from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -201,37 +198,41 @@ CHECKED = ["x one two three four five six seven eight nine ten y", "ONE-two thre
            "b " * 30_000 + "short item", "a short item, a Short  item"]
 
 
-def test_decontam_equals_brute_force(spark, monkeypatch):
+def test_decontam_equals_brute_force(spark):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     want = brute_hits(CHECKED, ITEMS)
-    for words_a_slice in (400_000, 13):    # one pass, and several
-        monkeypatch.setattr(decontam, "SLICE_WORDS", words_a_slice)
-        got = {r["doc_id"]: r for r in decontam.report(docs(spark, CHECKED), bench).collect()}
-        for i, w in enumerate(want):
-            assert tuple(got[i][k] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) == w, (i, words_a_slice)
-            assert got[i]["n_near_items"] >= got[i]["n_items"]
-
-
-def test_decontam_holds_few_slices(spark, monkeypatch):
-    alive, most, made = weakref.WeakSet(), [0], [0]
-
-    class Counted(decontam.Windows):
-        def __init__(self, *args):
-            super().__init__(*args)
-            gc.collect()
-            alive.add(self)
-            made[0] += 1
-            most[0] = max(most[0], len(alive))
-
-        def __reduce__(self):    # tasks need no count
-            return SimpleNamespace, (), self.__dict__
-
-    monkeypatch.setattr(decontam, "Windows", Counted)
-    monkeypatch.setattr(decontam, "SLICE_WORDS", 6)
-    bench = spark.createDataFrame([(i, f"item{i} of some six words") for i in range(6)], "item_id long, text string")
-    got = decontam.report(docs(spark, [f"x item{i} of some six words" for i in range(6)]), bench).collect()
-    assert sorted(r["n_items"] for r in got) == [0, 1, 1, 1, 1, 1, 1] and made[0] == 6
-    assert most[0] <= 3      # with the one being made
+    got = {r["doc_id"]: r for r in decontam.report(docs(spark, CHECKED), bench).collect()}
+    for i, w in enumerate(want):
+        assert tuple(got[i][k] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) == w, i
+        assert got[i]["n_near_items"] >= got[i]["n_items"]
+
+
+def brute_near(text, item, counts, slop=5):
+    """Whether the item's only window has all its terms within slop of their places beside one of its rarest."""
+    w, v = decontam.words(text), decontam.words(item)
+    rare = min(range(len(v)), key=lambda k: (counts[v[k]], k))
+    return any(all(any(w[q] == v[k] for q in range(max(0, p + k - rare - slop), min(len(w), p + k - rare + slop + 1))) for k in range(len(v)) if k != rare)
+               for p in range(len(w)) if w[p] == v[rare])
+
+
+def test_decontam_on_few_words_used_often(spark):
+    """Texts and items over a small vocabulary: every list is long, many windows nearly match."""
+    rng = np.random.default_rng(3)
+    text = lambda n, v: " ".join(f"w{x}" for x in rng.integers(0, v, n))
+    items = [(k, text(n, 3)) for k, n in enumerate((4, 5, 6, 8))] + [(9, text(30, 2))]
+    texts = [text(400, 3) for _ in range(6)] + [text(3000, 2)] + [text(400, 3)] * 2
+    texts[-2] = texts[-1]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontam.report(docs(spark, texts), bench).collect()}
+    for i, w in enumerate(brute_hits(texts, items)):
+        assert tuple(got[i][k] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) == w
+    counts = {}
+    for t in texts:
+        for x in decontam.words(t):
+            counts[x] = counts.get(x, 0) + 1
+    short = [(k, t) for k, t in items if k < 9]
+    near = {r["doc_id"]: r["n_near_items"] for r in decontam.report(docs(spark, texts), bench.where("item_id < 9")).collect()}
+    assert [near[i] for i in range(len(texts))] == [sum(brute_near(t, x, counts) for _, x in short) for t in texts]
 
 
 def test_decontam_proximity_and_clean(spark):
