@@ -1,5 +1,6 @@
 """Row operators against brute force: PII, licences, decontamination, chat, toxicity, quality."""
 import re
+import time
 from hashlib import sha256
 
 import numpy as np
@@ -61,6 +62,20 @@ def test_base_spans_equal_brute_force(text):
     assert pii.base_spans(text) == brute_base(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["1", "255", "256", "0", ".", "..", " ", "12" * 20, "-", "+"]), max_size=25).map("".join))
+def test_base_spans_over_digit_runs(text):
+    assert pii.base_spans(text) == brute_base(text)
+
+
+@pytest.mark.parametrize("text", ["7" * 10**6, "1." * 500_000, "+" * 10**6, "1 " * 500_000, "1(" * 500_000, "+1" + "(" * 10**6, "a@" * 500_000, "1-" * 500_000])
+def test_spans_of_long_runs_are_linear(text):
+    begun = time.perf_counter()
+    pii.base_spans(text)
+    pii.loose_spans(text)
+    assert time.perf_counter() - begun < 3
+
+
 PII_TEXTS = ["mail a.b@c.example.com and 10.0.0.255, 4111 1111 1111 1111.", "call +49 (30) 123456-78 now, 300.1.1.1", None, "",
              "x" * 200_000 + "@", "4111111111111112 +1234", "phone 555-123-4567 or jo [at] site [dot] org", "a@b.c" * 2,
              "mail a.b@c.example.com and 10.0.0.255, 4111 1111 1111 1111."]
