@@ -14,8 +14,8 @@
 No benchmark row reaches the driver, only the bitmap. Lists are never gathered: a frequent term or a
 common passage is many rows, which joins and counts spread, and adaptive execution may split. The
 tables that grow with the benchmark or the matches are written before they are joined, so their size
-decides for a broadcast. Postings are cut to the documents that still have a candidate before they
-are moved. A document's key is two 64-bit hashes of id and text: rows that share it (repeated rows)
+decides for a broadcast. Postings are cut to the asked terms, and to the documents that still have a candidate,
+before they are moved. A document's key is two 64-bit hashes of id and text: rows that share it (repeated rows)
 have the same words and share their result.
 
 Defined cases: null and empty texts have no words and are never hit; items without words are
@@ -147,7 +147,11 @@ def _met(postings: DataFrame, found: DataFrame, plans: DataFrame, first: int, la
     wide = 2 * slop + 1
     ranges = F.array_distinct(F.array(F.floor((F.col("place") - slop) / wide), F.floor((F.col("place") + slop) / wide)))
     need = need.withColumn("range", F.explode(ranges))
-    few = postings.join(checkpoint(found.select(*KEY).distinct()), KEY, "left_semi").withColumn("range", F.floor(F.col("pos") / wide))
+    # the lists of these terms alone; once the two rarest have met, in the documents that still have a candidate
+    asked = plans.where(F.col("n") > first).select(F.explode(F.slice("t", first + 1, last - first)["tid"]).alias("tid")).distinct()
+    few = postings.join(checkpoint(asked), "tid", "left_semi").withColumn("range", F.floor(F.col("pos") / wide))
+    if first > 1:
+        few = few.join(checkpoint(found.select(*KEY).distinct()), KEY, "left_semi")
     hit = need.join(few, [*KEY, "tid", "range"]).where(F.abs(F.col("pos") - F.col("place")) <= slop)
     bit = F.expr("shiftleft(1L, off)")
     met = hit.groupBy(*KEY, "wid", "start", "exact", "want").agg(
