@@ -26,6 +26,7 @@ document rows are judged one by one; an empty benchmark hits nothing.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -35,12 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from pricecast.llm.common import append_columns, checkpoint, fresh_name, map_columns
+from pricecast.llm.common import CHUNK_ROWS, append_columns, checkpoint, fresh_name, map_columns
 
 WIDTH = 10            # at most 62
 SLOP = 5
 SIEVE = 1 << 24       # bits
-BATCH = 200_000       # rows of one output batch
+BATCH = 50_000        # rows of one output batch
 
 #: A-Z to lower case; 0x00-0x2F, 0x3A-0x60 and 0x7B-0x7F part words; the rest, and all of UTF-8, stays.
 _TABLE = bytes(0x20 if (c <= 0x2F or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F)
@@ -72,8 +73,9 @@ def _spread(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[list[pa.Arr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for columns in rows(batch):
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+            for at in range(0, batch.num_rows, CHUNK_ROWS):     # few texts are Python objects at a time
+                for columns in rows(batch.slice(at, CHUNK_ROWS)):
+                    yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.mapInArrow(run, schema)
 
@@ -103,12 +105,17 @@ def sieve(dictionary: DataFrame) -> bytes:
     return out.tobytes()
 
 
+@lru_cache(maxsize=1)
+def _opened(packed: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(packed, dtype=np.uint8), bitorder="little").view(bool)
+
+
 def index(docs: DataFrame, dictionary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The postings (tid, k1, k2, pos) of the dictionary's terms, a written table sorted by term."""
     packed = sieve(dictionary)
 
     def rows(batch: pa.RecordBatch) -> Iterator[list[pa.Array]]:
-        known = np.unpackbits(np.frombuffer(packed, dtype=np.uint8), bitorder="little").view(bool)
+        known = _opened(packed)
         held: list[tuple] = []
 
         def out() -> list[pa.Array]:
