@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from pricecast.models import arima, attribution, gbt, hist_trees, quantile_gbm, sequence_models, stacking
+from pricecast.models import arima, attribution, gbt, hist_trees, quantile_gbm, sequence_models, stacking, tree_paths
 from pricecast.models.common import CAT_COLS, NUM_COLS, ROW_KEY, TARGET, model_frame, request_codes
 from pricecast.operators import metrics, split
 from pricecast.operators.lookup import asof_fallback
@@ -89,6 +89,20 @@ def q_attr(spark, sf_dir):
     return finish(attribution.attribution_summary(contrib))
 
 
+@register("attribution_paths")
+def q_attr_paths(spark, sf_dir):
+    """M8 without sampling: path-based Shapley values of every test row on the boosted trees, with all
+    training rows as background; per feature its mean impacts, and the largest gap between a row's
+    values and its prediction less the base."""
+    frame, feats = model_frame(spark, sf_dir)
+    train = frame.where(F.col("split") == "train")
+    model = gbt.fit_model(train, feats, stages=TREES, step=STEP)
+    got = checkpoint(tree_paths.path_attribution(model, frame.where(F.col("split") == "test"), train, ROW_KEY))
+    gap = F.abs(F.aggregate(F.map_values("impacts"), F.col("base"), lambda a, v: a + v) - F.col("prediction"))
+    largest = got.agg(F.max(gap)).first()[0]
+    return finish(tree_paths.feature_impacts(got).withColumn("largest_gap", F.lit(largest).cast("double")))
+
+
 @register("stacking_meta_metrics")
 def q_stack(spark, sf_dir):
     """M3 + M4 + M9: tree and window predictions joined by row key into the
