@@ -140,3 +140,39 @@ def q_sink_roundtrip(spark, sf_dir):
             F.max("arrival_date").alias("max_date"), price.alias("avg_price"))
         out = audit if out is None else out.unionByName(audit)
     return finish(out)
+
+
+_LOAD_AUDIT = f"""count(*) AS rows, min(arrival_date) AS min_date, max(arrival_date) AS max_date, {r4(_SINK_PRICE)} AS avg_price"""
+
+
+@register("warehouse_load", with_fixtures("""kept AS (SELECT * FROM price_obs WHERE grade = 'R')""", """twice AS (
+  SELECT * FROM price_obs UNION ALL SELECT * FROM kept)""", select=f"""
+SELECT 1 AS step, 'fail' AS if_exists, false AS refused, {_LOAD_AUDIT} FROM price_obs
+UNION ALL SELECT 2, 'append', false, {_LOAD_AUDIT} FROM twice
+UNION ALL SELECT 3, 'fail', true, {_LOAD_AUDIT} FROM twice
+UNION ALL SELECT 4, 'replace', false, {_LOAD_AUDIT} FROM kept"""))
+def q_warehouse_load(spark, sf_dir):
+    """S3 + S4: the observations loaded in batches of 5000 into a new table, rows of one grade
+    appended, a second load with ``fail`` refused, the table replaced; audited after every step."""
+    import uuid
+
+    from pricecast.session import ensure_checkpoint_dir
+    from pricecast.sources import io as sio
+    from pricecast.sources import warehouse
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/load-{uuid.uuid4().hex}"
+    obs = tb.price_obs(spark, sf_dir)
+    kept = obs.where(F.col("grade") == "R")
+    price = F.sum(F.col("modal_price").cast("decimal(38,8)")).cast("double") / F.count("modal_price")
+    out = None
+    for step, (part, how) in enumerate(((obs, "fail"), (kept, "append"), (obs, "fail"), (kept, "replace")), start=1):
+        refused = False
+        try:
+            sio.load_table(part, "price_obs", how, folder=folder)
+        except FileExistsError:
+            refused = True
+        audit = warehouse.read(spark, f"{folder}/price_obs").agg(
+            F.count(F.lit(1)).alias("rows"), F.min("arrival_date").alias("min_date"), F.max("arrival_date").alias("max_date"),
+            price.alias("avg_price"))
+        audit = audit.select(F.lit(step).alias("step"), F.lit(how).alias("if_exists"), F.lit(refused).alias("refused"), "*")
+        out = audit if out is None else out.unionByName(audit)
+    return finish(out)

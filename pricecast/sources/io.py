@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pricecast.sources import warehouse
+
 # The reference's ``if_exists`` words and the Spark save modes.
 IF_EXISTS = {"replace": "overwrite", "append": "append", "fail": "errorifexists"}
 
@@ -39,18 +41,25 @@ def write_stage(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 
 def load_table(df: DataFrame, table: str, if_exists: str = "fail", batchsize: int = 5000,
-               jdbc_url: str | None = None, properties: dict | None = None) -> None:
-    """S3: load into a SQL warehouse table.
+               jdbc_url: str | None = None, properties: dict | None = None, folder: str | None = None) -> None:
+    """S3: load into a warehouse table.
 
     ``if_exists`` replace/append/fail maps to overwrite/append/errorifexists.
-    With ``jdbc_url`` the rows go through the JDBC writer in batches of
-    ``batchsize`` (executors write in parallel, one connection per task);
-    otherwise into a catalog table (``saveAsTable``).
+    With ``folder`` the table is ``{folder}/{table}`` and a load is all or
+    nothing, in batches of ``batchsize`` (``warehouse.load``). With ``jdbc_url``
+    the rows go through the JDBC writer in batches of ``batchsize`` (executors
+    write in parallel, one connection per task); a JDBC load that fails midway
+    keeps what its finished tasks wrote. Otherwise into a catalog table
+    (``saveAsTable``).
     """
     if if_exists not in IF_EXISTS:
         raise ValueError(f"if_exists must be one of {sorted(IF_EXISTS)}")
+    if folder and jdbc_url:
+        raise ValueError("either folder or jdbc_url")
     mode = IF_EXISTS[if_exists]
-    if jdbc_url:
+    if folder:
+        warehouse.load(df, f"{folder.rstrip('/')}/{table}", if_exists, batchsize)
+    elif jdbc_url:
         props = dict(properties or {})
         props.setdefault("batchsize", str(batchsize))
         df.write.jdbc(jdbc_url, table, mode=mode, properties=props)
