@@ -65,6 +65,13 @@ def q_seq(spark, sf_dir):
     return finish(sequence_models.sequence_metrics(sp, SEQ_KEY, ORDER))
 
 
+@register("sequence_recurrent_metrics")
+def q_seq_recurrent(spark, sf_dir):
+    """M6 with a recurrent state next to the 30-row window, on the log-delta target."""
+    sp = split.time_split(tb.price_obs(spark, sf_dir), SPLIT_ORDER)
+    return finish(sequence_models.recurrent_metrics(sp, SEQ_KEY, ORDER))
+
+
 @register("sequence_level_metrics")
 def q_seq_level(spark, sf_dir):
     """M6, level target + W10 whole-table scope: 30-row windows in date order."""
