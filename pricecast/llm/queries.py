@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _case(col: str, weights: dict[str, float]) -> str:
-    return f"CASE {col} " + " ".join(f"WHEN '{k}' THEN {float(v)}" for k, v in weights.items()) + " ELSE 1.0 END"
+    return f"CASE {col} " + " ".join(f"WHEN '{k}' THEN {float(v)}" for k, v in weights.items()) + " ELSE 1.0 END" if weights else "1.0"
 
 
 def _level_sql(name: str, before: str, keys: list[str], level: str, weights: dict[str, float]) -> str:
@@ -39,7 +39,7 @@ def _level_sql(name: str, before: str, keys: list[str], level: str, weights: dic
     on = " AND ".join(f"n.{x} IS NOT DISTINCT FROM p.{x}" for x in keys) or "TRUE"
     part = f"PARTITION BY {', '.join(keys)}" if keys else ""
     return f"""
-{name}_n AS (SELECT {k}{level}, sum(tokens * {float(MIX_EPOCHS)}) AS cap FROM leaves GROUP BY ALL),
+{name}_n AS (SELECT {k}{level}, sum(cap) AS cap FROM leaves GROUP BY ALL),
 {name}_b AS (SELECT n.*, least(p.budget, sum(cap) OVER ({part.replace('BY ', 'BY n.', 1).replace(', ', ', n.') if keys else ''})) AS budget,
              {_case('n.' + level, weights)} AS w FROM {name}_n n JOIN {before} p ON {on}),
 {name}_r AS (SELECT *, sum(w) OVER ({part}) AS allw,
@@ -52,21 +52,25 @@ def _level_sql(name: str, before: str, keys: list[str], level: str, weights: dic
 {name} AS (SELECT {k}{level}, CASE WHEN is_full THEN cap ELSE floor((budget - used) * w / rest_w) END AS budget FROM {name}_u)"""
 
 
-OP1_SQL = f"""WITH rows_ AS (
+def mixing_sql(weights: dict[str, dict[str, float]], budget_share: float, epochs: int, seed: int) -> str:
+    """DuckDB SQL of ``mixing.mix`` for weights that default to 1; a leaf below a weight of zero or less takes nothing."""
+    open_ = " AND ".join(f"{_case(c, weights.get(c, {}))} > 0" for c in ("domain", "lang", "source"))
+    return f"""WITH rows_ AS (
   SELECT *, CASE WHEN c < '4' THEN 'web' WHEN c < '8' THEN 'books' WHEN c < 'c' THEN 'forum' ELSE 'code' END AS domain FROM (
     SELECT doc_id, lang, source, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS key,
            CAST(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS n,
            substr(md5(coalesce(source, '')), 1, 1) AS c FROM documents) WHERE n > 0),
-leaves AS (SELECT domain, lang, source, CAST(sum(n) AS DOUBLE) AS tokens FROM rows_ GROUP BY ALL),
-root AS (SELECT floor(sum(tokens) * {MIX_SHARE}) AS budget FROM leaves),""" + ",".join([
-    _level_sql("l1", "root", [], "domain", MIX_WEIGHTS["domain"]),
-    _level_sql("l2", "l1", ["domain"], "lang", MIX_WEIGHTS["lang"]),
-    _level_sql("l3", "l2", ["domain", "lang"], "source", MIX_WEIGHTS["source"])]) + f""",
+leaves AS (SELECT *, CASE WHEN {open_} THEN tokens * {float(epochs)} ELSE 0 END AS cap FROM (
+  SELECT domain, lang, source, CAST(sum(n) AS DOUBLE) AS tokens FROM rows_ GROUP BY ALL)),
+root AS (SELECT floor(sum(tokens) * {budget_share}) AS budget FROM leaves),""" + ",".join([
+    _level_sql("l1", "root", [], "domain", weights.get("domain", {})),
+    _level_sql("l2", "l1", ["domain"], "lang", weights.get("lang", {})),
+    _level_sql("l3", "l2", ["domain", "lang"], "source", weights.get("source", {}))]) + f""",
 alloc AS (SELECT l.*, CAST(floor(b.budget / l.tokens) AS BIGINT) AS epochs,
           CAST(b.budget - floor(b.budget / l.tokens) * l.tokens AS BIGINT) AS rest
   FROM leaves l JOIN l3 b ON l.domain = b.domain AND l.lang IS NOT DISTINCT FROM b.lang AND l.source IS NOT DISTINCT FROM b.source
   WHERE b.budget > 0),
-x AS (SELECT r.*, a.epochs, a.rest, md5(concat('{MIX_SEED}:', CAST(a.epochs AS VARCHAR), ':', r.key)) AS o
+x AS (SELECT r.*, a.epochs, a.rest, md5(concat('{seed}:', CAST(a.epochs AS VARCHAR), ':', r.key)) AS o
   FROM rows_ r JOIN alloc a ON r.domain = a.domain AND r.lang IS NOT DISTINCT FROM a.lang AND r.source IS NOT DISTINCT FROM a.source),
 g AS (SELECT domain, lang, source, o, sum(n) AS s FROM x GROUP BY ALL),
 h AS (SELECT *, sum(s) OVER (PARTITION BY domain, lang, source ORDER BY o) - s AS before FROM g),
@@ -78,6 +82,9 @@ UNION ALL
 SELECT doc_id, domain, lang, source, epochs, n, CAST(least(n, rest - before) AS BIGINT) FROM y WHERE before < rest"""
 
 
+OP1_SQL = mixing_sql(MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED)
+
+
 @query("op1_mixing", OP1_SQL)
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")

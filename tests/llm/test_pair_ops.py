@@ -247,6 +247,19 @@ def test_mixing_edges(spark):
     assert over.count() == 2 * len(got)
 
 
+def test_mixing_sql_with_closed_leaves(spark):
+    """Weights of zero or less, weights of single levels, shortage and surplus: SQL and operator agree."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF001}/documents.parquet')")
+    frame = table(spark, SF001, "documents").select("doc_id", "text", "lang", "source")
+    for weights, part, epochs, seed in (({"domain": {"code": 0, "web": 5}, "lang": {"de": -1}, "source": {"src1": 0, "src0": 3}}, 0.9, 2, 3),
+                                        ({"lang": {"en": 7, "fr": 0}}, 0.5, 1, 4), ({}, 9.0, 2, 5)):
+        want = con.execute(queries.mixing_sql(weights, part, epochs, seed)).df()
+        got = mixing.mix(frame, weights, part, epochs, seed).drop("text", "lang", "source").toPandas()
+        assert sorted(map(str, want[sorted(want.columns)].to_numpy().tolist())) == sorted(map(str, got[sorted(want.columns)].to_numpy().tolist()))
+        assert len(got) > 0
+
+
 def test_mixing_plan_is_native(spark):
     frame = table(spark, SF001, "documents")
     plan = mixing.mix(frame, queries.MIX_WEIGHTS)._jdf.queryExecution().executedPlan().toString()
