@@ -36,6 +36,7 @@ from pricecast.llm.common import checkpoint, map_columns
 from pricecast.llm.components import connected_components, spanning
 
 PIVOTS = 16
+LENGTHS = 64          # so many vector lengths, the commonest, get pivots; the others' cell is the whole length
 CHUNK = 2048
 EDGE = 1e-9           # cosines this near the threshold are computed again, one by one
 
@@ -74,6 +75,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(rows), dtype=np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 0))
 
 
+def _pivots(pivots: dict[int, np.ndarray], dim: int) -> np.ndarray:
+    """The pivots of a length; without any, the origin, from which all unit vectors are one away."""
+    return pivots[dim] if dim in pivots else np.zeros((1, dim))
+
+
 def _homes(reps: DataFrame, pivots: dict[int, np.ndarray], r: float) -> DataFrame:
     """reps with dim, home cell, distance to its pivot, and the cells it must be compared in."""
     schema = T.StructType([*reps.schema.fields, T.StructField("dim", T.IntegerType()), T.StructField("cell", T.IntegerType()),
@@ -84,7 +90,7 @@ def _homes(reps: DataFrame, pivots: dict[int, np.ndarray], r: float) -> DataFram
         out = dict(zip(names, cols, strict=True)) | {"dim": [], "cell": [], "cells": []}
         for raw in out["unit"]:
             v = np.frombuffer(raw, dtype=np.float64)
-            d = np.linalg.norm(pivots[len(v)] - v, axis=1)
+            d = np.linalg.norm(_pivots(pivots, len(v)) - v, axis=1)
             home = int(d.argmin())
             out["dim"].append(len(v))
             out["cell"].append(home)
@@ -169,7 +175,7 @@ def _cells(batches: Iterator[pa.RecordBatch], pivots: dict[int, np.ndarray], lea
             part = batch.slice(at, end - at)
             cell.meet(part.column("rep").to_pylist(), _matrix(part.column("unit")),
                       np.array(part.column("copies").to_pylist(), dtype=np.int64), not marks[at][4],
-                      pivots[key[1]][key[2]], least, r)
+                      _pivots(pivots, key[1])[key[2]], least, r)
             at = end
     yield from done()
 
@@ -182,10 +188,12 @@ def join(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vec_co
     reps = (own.where(F.col("key").isNotNull()).groupBy("label", "key")
             .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit")))
     reps = checkpoint(reps)
-    # pivots: for each vector length (there are few), the first reps in hash order
-    lengths = [x[0] for x in reps.select(F.length("unit")).distinct().limit(1000).collect()]
-    pivots = {n // 8: _matrix(pa.array([x["unit"] for x in reps.where(F.length("unit") == n).orderBy(F.xxhash64("rep"), "rep")
-                                        .limit(PIVOTS).collect()])) for n in lengths}
+    # pivots: for each of the commonest vector lengths, the first rep of each of PIVOTS classes by hash
+    size, h = F.length("unit"), F.xxhash64("rep")
+    lengths = [x["n"] for x in reps.groupBy(size.alias("n")).count().orderBy(F.desc("count"), "n").limit(LENGTHS).collect() if x["n"]]
+    first = (reps.where(size.isin(lengths)).groupBy(size.alias("n"), F.pmod(h, F.lit(PIVOTS)).alias("class"))
+             .agg(F.min_by("unit", F.struct(h, "rep")).alias("unit")).orderBy("n", "class").collect())
+    pivots = {n // 8: _matrix(pa.array([x["unit"] for x in first if x["n"] == n])) for n in lengths}
     homes = checkpoint(_homes(reps, pivots, r))
     keys = ["label", "dim", "cell"]
     sizes = homes.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))

@@ -160,7 +160,8 @@ def test_embedding_join_equals_brute_force(spark, monkeypatch):
     for i, c in enumerate(comp):
         smallest[c] = min(smallest.get(c, 1 << 60), rows[i][0])
     want = sorted((rows[i][0], n[i], smallest[comp[i]], rows[i][0] == smallest[comp[i]]) for i in range(len(rows)))
-    for chunk, pivots in ((2048, 16), (5, 4)):
+    for chunk, pivots, lengths in ((2048, 16, 64), (5, 4, 64), (5, 4, 1), (2048, 16, 0)):
+        monkeypatch.setattr(embed_join, "LENGTHS", lengths)      # lengths without pivots join as one cell
         monkeypatch.setattr(embed_join, "CHUNK", chunk)
         monkeypatch.setattr(embed_join, "PIVOTS", pivots)
         assert sorted(tuple(r) for r in embed_join.join(frame).select("vec_id", "n_links", "component_id", "kept").collect()) == want
