@@ -331,7 +331,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows, label: str = "toxic", id
 
     ``train_rows``: function from the id column to a boolean column. The chosen ids (at most
     MAX_TOXIC + MAX_CLEAN) are joined to the documents by broadcast, so the documents are not
-    shuffled; whole texts are taken in hash order until MAX_CHARS.
+    shuffled; whole texts are taken in hash order until MAX_CHARS, which is settled by their lengths
+    before any text reaches the driver.
     """
     known = (labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y"))
              .where(F.col("id").isNotNull() & F.col("y").isin(0, 1))
@@ -340,19 +341,21 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows, label: str = "toxic", id
              .withColumn("h", F.xxhash64("id")))
     picked = (known.where("y = 1").orderBy("h", "id").limit(MAX_TOXIC)
               .unionByName(known.where("y = 0").orderBy("h", "id").limit(MAX_CLEAN)))
-    texts = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-             .join(F.broadcast(picked), "id").select("h", "id", "y", "text")
-             .orderBy("h", "id", "text"))
-    samples, chars, seen = [], 0, None
-    for row in texts.toLocalIterator():
-        if row["id"] == seen:      # a repeated id trains once
-            continue
-        seen = row["id"]
-        text = row["text"] or ""
-        if chars + len(text) > MAX_CHARS:
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # an id trains once, by its shortest text; only lengths travel before the texts are chosen
+    first = (own.join(F.broadcast(picked), "id").groupBy("h", "id", "y")
+             .agg(F.min(F.struct(F.length("text").alias("chars"), F.xxhash64("text").alias("t"))).alias("f")).orderBy("h", "id").collect())
+    chosen, chars = [], 0
+    for row in first:
+        chars += row["f"]["chars"]
+        if chars > MAX_CHARS:
             break
-        chars += len(text)
-        samples.append((text, row["y"]))
+        chosen.append((row["h"], row["id"], row["y"], row["f"]["t"]))
+    wanted = docs.sparkSession.createDataFrame(chosen, T.StructType([
+        T.StructField("h", T.LongType()), T.StructField("id", own.schema["id"].dataType), T.StructField("y", T.IntegerType()),
+        T.StructField("t", T.LongType())]))
+    texts = own.join(F.broadcast(wanted), "id").where(F.xxhash64("text") == F.col("t")).dropDuplicates(["id"])
+    samples = [(row["text"], row["y"]) for row in texts.orderBy("h", "id").toLocalIterator()]
     return train(samples)
 
 

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricecast.llm import chat, decontam, license_scan, pii, quality, queries, toxicity
@@ -343,6 +344,28 @@ def test_toxicity_tables(spark):
     assert toxicity.score(frame, none)[0].agg({names["score"]: "max"}).first()[0] == 0.0
 
 
+def test_toxicity_training_texts_are_chosen_by_length(spark, monkeypatch):
+    """Whole texts in hash order up to MAX_CHARS; the shortest text of an id; repeated rows once."""
+    texts = [f"text {i} " + "é𝄞" * (i % 9) for i in range(60)]
+    frame = docs(spark, texts).where("doc_id is not null")
+    frame = frame.union(frame.where("doc_id < 30")).union(frame.where("doc_id < 10").withColumn("text", F.concat("text", F.lit(" longer"))))
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(60)], "doc_id long, toxic int")
+    order = [r["doc_id"] for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda samples: seen.append(samples))
+    for bound in (24_000_000, 300, 0):
+        monkeypatch.setattr(toxicity, "MAX_CHARS", bound)
+        toxicity.fit(frame, labels, lambda i: F.lit(True))
+        want, chars = [], 0
+        for i in order:
+            chars += len(texts[i])
+            if chars > bound:
+                break
+            want.append((texts[i], i % 2))
+        assert seen.pop() == want
+    assert not want
+
+
 @pytest.mark.parametrize("sf", ["sf0.01"])
 def test_quality_agrees_with_labels(spark, sf):
     got = queries.op6_quality(spark, f"/root/testdata/{sf}")
