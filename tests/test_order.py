@@ -177,3 +177,18 @@ def test_null_series_keys_are_no_series(spark):
     assert log_delta(df.na.fill(1.0), ["key"], ["t"], "v").where("key is null").count() == 0
     assert rows(ffill(df, ["key"], ["t"], "v", chunk_rows=16).select("key", "t", F.coalesce("v", F.lit(-1.0)).alias("v")), "t", "v") == plain
     assert sequences(df, ["key"], ["t"], ["v"], "v", n=5, chunk_rows=16).count() == 55
+
+
+def test_only_keys_with_open_ranks_meet_the_rows_again(spark, monkeypatch):
+    rows_ = [(k, float(v)) for k, n in (("a", 5), ("b", 6), ("long", 90)) for v in range(n)]
+    df = spark.createDataFrame(rows_, "key string, v double")
+    asked, narrow = [], order._narrowed
+
+    def spy(thin, known, *rest):
+        asked.append(sorted(r["key"] for r in known.select("key").collect()))
+        return narrow(thin, known, *rest)
+
+    monkeypatch.setattr(order, "_narrowed", spy)
+    got = {r["key"]: r["m"] for r in order.exact_quantiles(df, ["key"], "v", {"m": 0.5}, bins=8).collect()}
+    assert got == {"a": 2.0, "b": 2.5, "long": 44.5}
+    assert asked[0] == ["a", "b", "long"] and asked[1:] and all(a == ["long"] for a in asked[1:])
