@@ -11,8 +11,14 @@ In a path the worth is a product over its features, so a feature's value is the
 a Gauss rule of half its degree is exact. Per row the values add up to the prediction less the
 background's mean prediction.
 
+A row enters a path's worth only by one bit per feature: whether its own value goes the path's way. So
+the values of a leaf are a table over these bits, and those of neighbouring leaves one table over the bits
+of their common path and of the decisions below it (``tree_parts``). A row's values are then looked up, a few
+hundred numbers a tree, instead of integrated anew; paths of too many features for a table are integrated.
+
 Rows are explained where they lie, in one Arrow pass with the model's paths (bounded by trees and
-leaves); nothing is shuffled but the leaf counts, one row per (task, tree, leaf).
+leaves); a tree's tables last while it explains the rows held, and nothing is shuffled but the leaf counts,
+one row per (task, tree, leaf).
 
 Defined cases: a node that no background row reaches halves its weight; a tree without a cut gives
 nothing to any feature; null and NaN features go right, as in the model; an empty table explains to
@@ -22,7 +28,7 @@ an empty one; repeated rows get equal values.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +39,26 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from pricecast.models.hist_trees import Model, Tree
 
-BLOCK = 128     # rows explained at a time: bounds the memory of (row, leaf, feature) tables
+BLOCK = 128     # rows integrated at a time: bounds the memory of (row, leaf, feature) tables
+BITS = 10       # features of a path and decisions below it that index one table, at most
+HELD_ROWS = 65_536      # rows explained by a tree's tables before these are dropped
+AT_ONCE = 8192  # rows looked up at a time: their codes stay in the processor's cache
 
 LEAVES = T.StructType([T.StructField("tree", T.IntegerType()), T.StructField("node", T.IntegerType()), T.StructField("rows", T.LongType())])
 
 
 @dataclass
 class Paths:
-    """The paths of one tree, [leaf, place]: feature (-1: unused place), bins in (low, high], weight; value per leaf."""
+    """The paths of one tree, [leaf, place]: feature (-1: unused place), bins in (low, high], weight; value and node per leaf."""
     feature: np.ndarray
     low: np.ndarray
     high: np.ndarray
     weight: np.ndarray
     value: np.ndarray
+    node: np.ndarray
+
+    def of(self, leaves: np.ndarray) -> Paths:
+        return Paths(*(getattr(self, f.name)[leaves] for f in fields(self)))
 
 
 def leaf_counts(model: Model, background: DataFrame, spec: int = 0) -> list[np.ndarray]:
@@ -78,13 +91,13 @@ def _features(df: DataFrame, model: Model) -> DataFrame:
 
 def tree_paths(tree: Tree, count: np.ndarray, bins: int = 256) -> Paths:
     """All leaves of a tree with their features' ranges and weights."""
-    leaves: list[tuple[float, dict[int, tuple[int, int, float]]]] = []
+    leaves: list[tuple[int, dict[int, tuple[int, int, float]]]] = []
     todo: list[tuple[int, dict[int, tuple[int, int, float]]]] = [(0, {})]
     while todo:
         node, path = todo.pop()
         f = int(tree.feature[node])
         if f < 0:
-            leaves.append((float(tree.value[node]), path))
+            leaves.append((node, path))
             continue
         low, high, weight = path.get(f, (-1, bins, 1.0))
         child, cut = int(tree.left[node]), int(tree.cut[node])
@@ -92,7 +105,8 @@ def tree_paths(tree: Tree, count: np.ndarray, bins: int = 256) -> Paths:
         todo.append((child, {**path, f: (low, min(high, cut), weight * share)}))
         todo.append((child + 1, {**path, f: (max(low, cut), high, weight * (1 - share))}))
     shape = (len(leaves), max(len(p) for _, p in leaves))
-    out = Paths(np.full(shape, -1), np.full(shape, -1), np.full(shape, bins), np.ones(shape), np.array([v for v, _ in leaves]))
+    at = np.array([n for n, _ in leaves])
+    out = Paths(np.full(shape, -1), np.full(shape, -1), np.full(shape, bins), np.ones(shape), tree.value[at], at)
     for k, (_, path) in enumerate(leaves):
         for place, (f, (low, high, weight)) in enumerate(path.items()):
             out.feature[k, place], out.low[k, place], out.high[k, place], out.weight[k, place] = f, low, high, weight
@@ -125,6 +139,138 @@ def path_values(paths: Paths, x: np.ndarray, feats: int) -> np.ndarray:
     return out
 
 
+@dataclass
+class Part:
+    """Leaves below one node. A row's code has a bit per feature of the path to the node (1: the row goes
+    the path's way), in the order in which they come up, then one per decision below it (1: left);
+    ``table`` is [place, code], with the feature of each place."""
+    decisions: list[int]
+    features: list[int]
+    table: np.ndarray
+
+
+def tables_by_pattern(paths: Paths, leaves: np.ndarray, places: int) -> np.ndarray:
+    """[leaf, place, pattern] values of leaves whose paths have ``places`` features; bit k of a pattern tells whether
+    a row goes the path's way on the feature at place k."""
+    own = (np.arange(2 ** places) >> np.arange(places)[:, None] & 1).astype(float)
+    weight = paths.weight[leaves, :places, None]
+    points, mass = np.polynomial.legendre.leggauss((places + 1) // 2)
+    others = np.zeros((len(leaves), places, 2 ** places))
+    for t, m in zip((points + 1) / 2, mass / 2, strict=True):
+        factor = weight * (1 - t) + own * t
+        before, after = np.ones_like(factor), np.ones_like(factor)
+        for k in range(1, places):
+            before[:, k] = before[:, k - 1] * factor[:, k - 1]
+            after[:, places - 1 - k] = after[:, places - k] * factor[:, places - k]
+        others += m * before * after
+    return others * (own - weight) * paths.value[leaves, None, None]
+
+
+def tree_parts(tree: Tree, paths: Paths, at: np.ndarray) -> tuple[dict[int, Part], np.ndarray]:
+    """The parts of a tree by their topmost node, and the leaves (rows of ``paths``) whose paths have more features
+    than a table holds. ``at`` is the node of each leaf in ``paths``."""
+    places = (paths.feature >= 0).sum(axis=1)
+    found: dict[int, np.ndarray] = {}
+    for n in np.unique(places[(places > 0) & (places <= BITS)]):
+        own = np.flatnonzero(places == n)
+        found |= zip(own.tolist(), tables_by_pattern(paths, own, int(n)), strict=True)
+    leaf, below = {int(node): k for k, node in enumerate(at)}, np.zeros(tree.size, dtype=np.int64)
+    for node in range(tree.size - 1, -1, -1):       # children come after their parent
+        if tree.feature[node] >= 0:
+            below[node] = 1 + below[tree.left[node]] + below[tree.left[node] + 1]
+    parts, wide, todo = {}, [], [(0, [])]
+    while todo:
+        node, above = todo.pop()
+        if len(above) + below[node] <= BITS:
+            parts[node] = _part(tree, node, above, paths, found, leaf)
+        elif tree.feature[node] < 0:
+            wide.append(leaf[node])
+        else:
+            f, child = int(tree.feature[node]), int(tree.left[node])
+            todo += [(c, above if f in above else [*above, f]) for c in (child, child + 1)]
+    return parts, np.array(sorted(wide), dtype=np.int64)
+
+
+def _part(tree: Tree, top: int, above: list[int], paths: Paths, found: dict[int, np.ndarray], leaf: dict[int, int]) -> Part:
+    decisions, ways, todo = [], [], [(top, [])]     # a way: leaf, (decision, went left) down to it
+    while todo:
+        node, way = todo.pop()
+        if tree.feature[node] < 0:
+            ways.append((leaf[node], way))
+            continue
+        k, child = len(decisions), int(tree.left[node])
+        decisions.append(node)
+        todo += [(child, [*way, (k, True)]), (child + 1, [*way, (k, False)])]
+    features = list(dict.fromkeys([*above, *(int(tree.feature[n]) for n in decisions)]))
+    codes = np.arange(2 ** (len(above) + len(decisions)))
+    table = np.zeros((len(features), len(codes)))
+    for row, way in ways:
+        goes: dict[int, np.ndarray] = {f: codes >> k & 1 for k, f in enumerate(above)}
+        for k, left in way:
+            f, here = int(tree.feature[decisions[k]]), codes >> (len(above) + k) & 1
+            here = here if left else 1 - here
+            goes[f] = goes[f] & here if f in goes else here
+        pattern, own = np.zeros(len(codes), dtype=np.int64), [int(f) for f in paths.feature[row] if f >= 0]
+        for k, f in enumerate(own):
+            pattern |= goes[f] << k
+        if own:
+            table[[features.index(f) for f in own]] += found[row][:, pattern]
+    return Part(decisions, features, table)
+
+
+def add_values(tree: Tree, parts: dict[int, Part], x: np.ndarray, out: np.ndarray) -> None:
+    """Add a tree's values to ``out`` [feature, row] for binned rows ``x`` [feature, row], by its parts' tables."""
+    n = x.shape[1]
+    picked, todo = np.empty(n), [(0, np.zeros(n, dtype=np.int64), [])]
+    while todo:
+        node, code, above = todo.pop()
+        part = parts.get(node)
+        if part is not None:
+            for k, d in enumerate(part.decisions):
+                code = code + ((x[tree.feature[d]] <= tree.cut[d]).astype(np.int64) << (len(above) + k))
+            for f, values in zip(part.features, part.table, strict=True):
+                values.take(code, out=picked, mode="clip")
+                out[f] += picked
+        elif tree.feature[node] >= 0:       # a leaf without a part is integrated by itself
+            f, child = int(tree.feature[node]), int(tree.left[node])
+            left = (x[f] <= tree.cut[node]).astype(np.int64)
+            for c, own in ((child, left), (child + 1, 1 - left)):
+                if f in above:
+                    bit = above.index(f)
+                    todo.append((c, code & ~((1 - own) << bit), above))
+                else:
+                    todo.append((c, code + (own << len(above)), [*above, f]))
+
+
+def explained(trees: list[Tree], paths: list[Paths], step: float, x: np.ndarray, feats: int) -> np.ndarray:
+    """[row, feature] values of all trees for binned rows."""
+    out, by_feature = np.zeros((feats, len(x))), np.ascontiguousarray(x.T)
+    for t, p in zip(trees, paths, strict=True):
+        parts, wide = tree_parts(t, p, p.node)
+        for part in parts.values():
+            part.table *= step
+        for k in range(0, len(x), AT_ONCE):
+            add_values(t, parts, by_feature[:, k:k + AT_ONCE], out[:, k:k + AT_ONCE])
+        if len(wide):
+            rest = p.of(wide)
+            for k in range(0, len(x), BLOCK):
+                out[:, k:k + BLOCK] += step * path_values(rest, x[k:k + BLOCK], feats).T
+    return out.T
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together to about ``HELD_ROWS`` rows."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.num_rows
+        if size >= HELD_ROWS:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def path_attribution(model: Model, explain: DataFrame, background: DataFrame, id_cols: list[str], spec: int = 0) -> DataFrame:
     """One row per row of ``explain``: ids, ``base`` (the background's mean prediction), ``impacts``
     (map from feature to its value) and ``prediction``; base and impacts add up to the prediction."""
@@ -144,14 +290,16 @@ def path_attribution(model: Model, explain: DataFrame, background: DataFrame, id
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, BLOCK):
-                b = whole.slice(start, BLOCK)
-                x = model.bins([b.column(f"_f{k}").to_numpy(zero_copy_only=False) for k in range(n)])
-                got = sum((s.step * path_values(p, x, n) for p in paths), np.zeros((len(x), n)))
+        for held in _held(batches):
+            x = model.bins([held.column(f"_f{k}").to_numpy() for k in range(n)])
+            got, whole = explained(model.trees[spec], paths, s.step, x, n), held.to_batches()[0]
+            for start in range(0, len(x), AT_ONCE):
+                b, own = whole.slice(start, AT_ONCE), got[start:start + AT_ONCE]
+                ends = pa.array(np.arange(len(own) + 1, dtype=np.int32) * n)
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(k).cast(arrow.field(k).type) for k in range(len(id_cols))), pa.array(np.full(len(x), base)),
-                     pa.array(got.tolist(), arrow.field("values").type), pa.array(model.predict(x)[:, spec])], schema=arrow)
+                    [*(b.column(k).cast(arrow.field(k).type) for k in range(len(id_cols))), pa.array(np.full(len(own), base)),
+                     pa.ListArray.from_arrays(ends, pa.array(own.ravel())).cast(arrow.field("values").type),
+                     pa.array(model.predict(x[start:start + AT_ONCE])[:, spec])], schema=arrow)
 
     names = F.array(*[F.lit(c) for c in model.feats])
     return own.mapInArrow(run, schema).select(*id_cols, "base", F.map_from_arrays(names, "values").alias("impacts"), "prediction")
